@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
-from .common import ship, table
+from . import bpe, quality, token_files
+from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op5_quality_rules]
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_root(spark)}/noteproof/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), folder, end_id=2)
+    read = token_files.read_token_files(spark, folder)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_ALL: list[Query] = [op1_bpe_round_trip, op5_quality_rules, op6_token_files]
 
 
 def _shipped(query: Query) -> Query:
