@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_files
+from . import bpe, packing, quality, token_files
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op5_quality_rules, op6_token_files]
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
+_ALL: list[Query] = [op1_bpe_round_trip, op5_quality_rules, op6_token_files, op7_packing]
 
 
 def _shipped(query: Query) -> Query:
