@@ -176,7 +176,7 @@ def merge_many(sym: np.ndarray, n: np.ndarray, ranks: PairRanks, made: np.ndarra
 
 
 class WordBpe(RunTable):
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -196,8 +196,6 @@ class WordBpe(RunTable):
         # every byte, inside a word and at its end, is a symbol of the vocabularies served
         self.inner = np.array([vocab[s] for s in byte_symbols()], np.int64)
         self.last = np.array([vocab[s + end] for s in byte_symbols()], np.int64)
-        names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
 
     def first_symbols(self, word: bytes) -> np.ndarray:
         data = np.frombuffer(word, np.uint8)
@@ -226,14 +224,28 @@ class WordBpe(RunTable):
         for k in np.flatnonzero(lengths > low).tolist():
             self.words[words[k]] = np.array(self.bpe.merge(self.first_symbols(data[k]).tolist()), "<u4").tobytes()
 
+
+@lru_cache(maxsize=2)
+def load(path: str) -> WordBpe:
+    return WordBpe(path)
+
+
+class TokenNames:
+    """Decoder: token strings joined by a space, as the vocabulary names no decoder."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+
     def decode(self, ids: bytes) -> str:
-        """Token strings joined by a space: the vocabulary names no decoder."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def names(path: str) -> TokenNames:
+    return TokenNames(path)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -256,9 +268,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded: the text of the ids, special tokens included. Null ids decode to null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        held = names(path)
         for batch in batches:
-            texts = [None if x is None else bpe.decode(x) for x in batch.column(2).to_pylist()]
+            texts = [None if x is None else held.decode(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

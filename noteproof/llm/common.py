@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
     # batches of whole texts stay small beside an executor's Python memory
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

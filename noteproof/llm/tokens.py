@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries of the per-process table of runs, checked before each batch; it is emptied when full.
-RUN_TABLE = 500_000
+RUN_TABLE = 150_000
 
 #: Unicode White_Space. ``str.split`` also splits at U+001C-U+001F, which do not belong to it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -37,7 +37,7 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-def by_length(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def by_length(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about ``most`` characters."""
     low = held = 0
     for k, t in enumerate(texts):
