@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_files
+from . import bpe, embeddings, packing, quality, token_files
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op5_quality_rules, op6_token_files, op7_packing]
+_ALL: list[Query] = [op1_bpe_round_trip, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing]
 
 
 def _shipped(query: Query) -> Query:
