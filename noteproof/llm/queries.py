@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, quality, token_files
+from . import bpe, embeddings, near_dedup, packing, quality, token_files
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing]
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL: list[Query] = [op1_bpe_round_trip, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op10_near_dedup]
 
 
 def _shipped(query: Query) -> Query:
