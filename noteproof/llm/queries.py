@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, near_dedup, packing, quality, token_files
+from . import bpe, embeddings, near_dedup, packing, quality, suffix_dedup, token_files
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +59,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op10_near_dedup]
+_ALL: list[Query] = [op1_bpe_round_trip, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op10_near_dedup]
 
 
 def _shipped(query: Query) -> Query:
