@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, near_dedup, packing, quality, suffix_dedup, token_files
+from . import bpe, embeddings, html_text, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,11 +59,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "severity", "rejected")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op10_near_dedup]
+_ALL: list[Query] = [op1_bpe_round_trip, op2_html_extraction, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op9_toxicity, op10_near_dedup]
 
 
 def _shipped(query: Query) -> Query:
