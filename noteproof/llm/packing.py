@@ -32,7 +32,7 @@ from .common import materialize, text_or_empty
 CAPACITY = 2048
 GRAIN = 8
 #: Rows of one (class, bucket) group, on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 #: Pricing rounds; the patterns found so far are feasible whenever it stops.
 MAX_ROUNDS = 5_000
 
