@@ -203,10 +203,10 @@ class WordBpe(RunTable):
         sym[-1] = self.last[data[-1]]
         return sym
 
-    def encode_words(self, words: list[str]) -> None:
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
+    def merge_bytes(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given as bytes, one after the other, and how many each has."""
         lengths = np.fromiter(map(len, data), np.int64, len(data))
-        low = 0
+        sizes, found, low = np.zeros(len(data), np.int64), [], 0
         for size in (4, 8, 16, 32, 64):
             chosen = np.flatnonzero((lengths > low) & (lengths <= size))
             low = size
@@ -214,15 +214,25 @@ class WordBpe(RunTable):
                 n = lengths[part]
                 joined = np.frombuffer(b"".join([data[k] for k in part.tolist()]), np.uint8)
                 sym = np.zeros((len(part), size), np.int64)
-                inside = np.arange(size) < n[:, None]
-                sym[inside] = self.inner[joined]
-                ends = np.cumsum(n) - 1
-                sym[np.arange(len(part)), n - 1] = self.last[joined[ends]]
+                sym[np.arange(size) < n[:, None]] = self.inner[joined]
+                sym[np.arange(len(part)), n - 1] = self.last[joined[np.cumsum(n) - 1]]
                 alive = merge_many(sym, n, self.ranks, self.made)
-                ids, to = sym[alive].astype("<u4").tobytes(), np.cumsum(alive.sum(1) * 4).tolist()
-                self.words.update(zip([words[k] for k in part.tolist()], [ids[a:b] for a, b in zip([0, *to], to)]))  # noqa: B905
+                sizes[part] = alive.sum(1)
+                found.append((part, sym[alive]))
         for k in np.flatnonzero(lengths > low).tolist():
-            self.words[words[k]] = np.array(self.bpe.merge(self.first_symbols(data[k]).tolist()), "<u4").tobytes()
+            ids = np.array(self.bpe.merge(self.first_symbols(data[k]).tolist()), np.int64)
+            sizes[k] = len(ids)
+            found.append((np.array([k]), ids))
+        out, start = np.zeros(int(sizes.sum()), np.int64), np.cumsum(sizes) - sizes
+        for part, ids in found:
+            n = sizes[part]
+            out[np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def encode_words(self, words: list[str]) -> None:
+        ids, sizes = self.merge_bytes([w.encode("utf-8", "surrogatepass") for w in words])
+        packed, to = ids.astype("<u4").tobytes(), np.cumsum(4 * sizes).tolist()
+        self.words.update(zip(words, [packed[a:b] for a, b in zip([0, *to], to)], strict=True))  # noqa: B905
 
 
 @lru_cache(maxsize=2)

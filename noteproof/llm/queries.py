@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html_text, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
+from . import bpe, embeddings, html_text, lattice_lm, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
@@ -69,7 +73,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op2_html_extraction, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op9_toxicity, op10_near_dedup]
+_ALL: list[Query] = [op1_bpe_round_trip, op2_html_extraction, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op8_lm_scoring, op9_toxicity, op10_near_dedup]
 
 
 def _shipped(query: Query) -> Query:
