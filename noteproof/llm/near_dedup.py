@@ -260,3 +260,12 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     drop_materialized(spark, shared, sets)
     return out
+
+
+def drop_duplicates(docs: DataFrame, *, threshold: int = 80, width: int = WIDTH) -> DataFrame:
+    """One document of each group, with its own columns: the one of smallest doc_id.
+
+    Rows that repeat a doc_id with the same text are one document; rows without doc_id all stay."""
+    kept = near_duplicates(docs, threshold=threshold, width=width).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

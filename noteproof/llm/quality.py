@@ -170,10 +170,10 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS
     )
 
 
-def score_documents(
+def _judged(
     docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+    """row (the document's own columns) and its measures and verdict."""
     weights = bucket_weights(docs, labels, buckets=buckets, max_trusted=max_trusted).scalar()
     text = F.col("text")
     measures = lambda w: with_hashes(
@@ -189,10 +189,10 @@ def score_documents(
         ),
     )
     measured = (
-        texts(docs)
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
         .select("*", weights.alias("w"))  # read once below, so the optimizer folds the subquery's value in there
         .select(
-            "doc_id",
+            "row",
             let(F.col("w"), measures).alias("m"),
             F.when(text.rlike(f"[{_SYMBOLS}]"), F.length(text) - F.length(F.translate(text, _SYMBOLS, "")))
             .otherwise(F.lit(0))
@@ -200,12 +200,22 @@ def score_documents(
             .alias("n_symbols"),
             duplicate_lines(text).cast("long").alias("n_dup_lines"),
         )
-        .select("*", "m.*")
+        .select("row", "n_symbols", "n_dup_lines", "m.*")
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & (F.coalesce(F.col("score"), F.lit(float("-inf"))) >= F.lit(threshold))).alias("kept"),
-        "score",
-    )
+    return measured.withColumns(
+        {"base_failed": failed, "kept": ~failed & (F.coalesce(F.col("score"), F.lit(float("-inf"))) >= F.lit(threshold))}
+    )
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+    judged = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, **options)
+    return judged.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents kept, with their own columns."""
+    return _judged(docs, labels, **options).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])

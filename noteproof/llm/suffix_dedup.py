@@ -331,3 +331,20 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
     return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select(
         *[F.col("row")[c].alias(c) for c in cols], "n_bytes", "n_removed", "n_spans", "kept"
     )
+
+
+def deduplicated(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+    """The documents with repeated strings cut out of text (characters cut apart go too) and n_chars, if any, counted anew."""
+    left = remove_repeats(docs, length=length).select(*docs.columns, "kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = left.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "kept")
+    kind = packed.schema["row"].dataType.simpleString()
+    out = packed.mapInArrow(run, f"row {kind}, text string")
+    columns = {c: F.col("row")[c] for c in rest} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
