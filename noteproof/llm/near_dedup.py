@@ -24,6 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ BASE = 1.001
 RATE = 20.0
 NATS = 16.0
 #: Classes of one block when classes of different components meet.
-BLOCK = 2_000
+BLOCK = 1_000
 
 
 def _multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +166,35 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _across_blocks(open_rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that registers leave possible.
+def least_equal(m: int, threshold: float, chance: float = 1e-10) -> int:
+    """Fewer equal registers than this have at most ``chance`` at ``threshold`` (equal minima alone, binomial)."""
+    total = 0.0
+    for k in range(m + 1):
+        total += math.comb(m, k) * threshold**k * (1 - threshold) ** (m - k)
+        if total > chance:
+            return k
+    return m
 
-    Buckets are cut into blocks by hash; a task holds two blocks."""
-    rows = open_rows.join(classes.select("cls", "n_shingles", "registers"), "cls")
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+
+def _across_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join different components, among classes whose buckets hang together.
+
+    Classes connected through open buckets form clusters, cut into blocks by hash; a task holds two
+    blocks with registers and full sets. A pair is skipped once its components are joined in the
+    task, ruled out by its registers, or verified; only links that join components come out."""
+    spark = open_rows.sparkSession
+    chief = open_rows.groupBy("key").agg(F.min("cls").alias("chief"))
+    cluster = connected_components(open_rows.join(chief, "key").select(F.col("cls").alias("a"), F.col("chief").alias("b")))
+    rows = open_rows.select("cls", "component").distinct().join(cluster.withColumnRenamed("id", "cls").withColumnRenamed("component", "key"), "cls")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     rows = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))
+    rows = rows.join(classes.select("cls", "registers"), "cls").join(sets.withColumnRenamed("doc_id", "cls"), "cls")
+    rows = materialize(spark, rows, "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = rows.withColumn("other", other).where("part <= other").select("key", F.col("part").alias("p1"), F.col("other").alias("p2"), "cls", "component", "n_shingles", "registers")
-    right = rows.withColumn("other", other).where("other < part").select("key", F.col("other").alias("p1"), F.col("part").alias("p2"), "cls", "component", "n_shingles", "registers")
+    columns = ["cls", "component", "registers", "shingles"]
+    left = rows.withColumn("other", other).where("part <= other").select("key", F.col("part").alias("p1"), F.col("other").alias("p2"), *columns)
+    right = rows.withColumn("other", other).where("other < part").select("key", F.col("other").alias("p1"), F.col("part").alias("p2"), *columns)
+    fewest = least_equal(REGISTERS, threshold / 100)
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -185,20 +205,36 @@ def _across_blocks(open_rows: DataFrame, classes: DataFrame, threshold: int) ->
             two = one
         if not len(two):
             return none
-        (ca, ka, na, ra), (cb, kb, nb, rb) = (
-            (t["cls"].to_numpy(), t["component"].to_numpy(), t["n_shingles"].to_numpy(), _registers(t["registers"].combine_chunks())) for t in (one, two)
+        (ca, ka, ra, sa), (cb, kb, rb, sb) = (
+            (t["cls"].to_numpy(), t["component"].to_numpy(), _registers(t["registers"].combine_chunks()), t["shingles"].combine_chunks()) for t in (one, two)
         )
+        set_a, set_b = ([x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in s] for s in (sa, sb))
+        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (set_a, set_b))
+        parent: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while (p := parent.get(k, k)) != k:
+                parent[k] = k = parent.get(p, p)
+            return k
+
         out_a, out_b = [], []
-        for k in range(len(ca)):
-            near = np.flatnonzero((kb != ka[k]) & (cb > ca[k] if same else True) & (np.minimum(nb, na[k]) * 100 >= threshold * np.maximum(nb, na[k])))
-            keep = near[possible(np.broadcast_to(ra[k], (len(near), ra.shape[1])), rb[near], np.full(len(near), na[k]), nb[near], threshold / 100)]
-            out_a.append(np.full(len(keep), ca[k]))
-            out_b.append(cb[keep])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        for i in range(len(ca)):
+            near = np.flatnonzero((kb != ka[i]) & ((cb > ca[i]) | (not same)) & (np.minimum(nb, na[i]) * 100 >= threshold * np.maximum(nb, na[i])))
+            near = near[(rb[near] == ra[i]).sum(1) >= fewest]
+            near = near[possible(np.broadcast_to(ra[i], (len(near), ra.shape[1])), rb[near], np.full(len(near), na[i]), nb[near], threshold / 100)]
+            for j in near.tolist():
+                p, q = find(int(ka[i])), find(int(kb[j]))
+                if p == q:
+                    continue
+                both = len(np.intersect1d(set_a[i], set_b[j], assume_unique=True))
+                if 100 * both >= threshold * (na[i] + nb[j] - both):
+                    parent[max(p, q)] = min(p, q)
+                    out_a.append(min(ca[i], cb[j]))
+                    out_b.append(max(ca[i], cb[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     on = ["key", "p1", "p2"]
-    return left.groupBy(*on).cogroup(right.toDF(*right.columns).groupBy(*on)).applyInArrow(meet, "a long, b long").distinct()
+    return left.groupBy(*on).cogroup(right.toDF(*right.columns).groupBy(*on)).applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -238,15 +274,14 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, width: int =
         mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_rows = materialize(spark, placed.join(mixed_keys, "key", "left_semi"), "open")
         if last:
-            more = _across_blocks(open_rows, classes, threshold)
+            found = materialize(spark, _across_blocks(open_rows, classes, sets, threshold), "links")
         else:
             degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("d"))
             ranked = open_rows.join(degree, "cls", "left").na.fill(0, ["d"])
             best = ranked.groupBy("key").agg(F.max(F.struct("d", "cls", "component")).alias("m"))
             best = best.select("key", F.col("m.cls").alias("hub"), F.col("m.component").alias("of"))
             met = open_rows.join(best, "key").where("component <> of").select(*_ordered("cls", "hub")).distinct()
-            more = _plausible(met, classes, threshold)
-        found = materialize(spark, _verified(more, sets, threshold), "links")
+            found = materialize(spark, _verified(_plausible(met, classes, threshold), sets, threshold), "links")
         links = materialize(spark, links.unionByName(found).distinct(), "links")
     component = connected_components(links)
     # classes of one set: through the class's own smallest member
