@@ -175,9 +175,9 @@ def new_authors_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_custkey AS email, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS login, o_orderdate AS at, o_orderkey AS sha FROM orders),
-k AS (SELECT email, arg_max(login, row(at, sha)) AS known FROM e WHERE year(at) < 1996 AND login IS NOT NULL GROUP BY email)
-SELECT sha, email, login, known FROM e JOIN k USING (email) WHERE year(at) >= 1996 AND login IS NOT NULL AND login <> known
+WITH e AS (SELECT o_custkey AS email, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS login, o_orderdate AS seen, o_orderkey AS sha FROM orders),
+k AS (SELECT email, arg_max(login, row(seen, sha)) AS known FROM e WHERE year(seen) < 1996 AND login IS NOT NULL GROUP BY email)
+SELECT sha, email, login, known FROM e JOIN k USING (email) WHERE year(seen) >= 1996 AND login IS NOT NULL AND login <> known
 """)
 def account_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapt.table(spark, sf_dir, "orders").select(

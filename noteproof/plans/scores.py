@@ -10,7 +10,11 @@ from ..functions import text as T
 from ..operators import scoring
 from ..registry import query
 
-VERDICT = F.when(F.col("verdict_code") == "N", "verified").when(F.col("verdict_code") == "R", "partial").otherwise("no-evidence")
+
+
+def _verdict():
+    return F.when(F.col("verdict_code") == "N", "verified").when(F.col("verdict_code") == "R", "partial").otherwise("no-evidence")
+
 
 _FILES_SQL = """
 files AS (
@@ -52,7 +56,7 @@ FROM o
 def _trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = adapt.commits(spark, sf_dir)
     files = adapt.changed_files(spark, sf_dir).join(commits.select("sha", "repo"), "sha")
-    claims = files.select("repo", VERDICT.alias("verdict"), (F.col("ord") > 4).alias("generated"))
+    claims = files.select("repo", _verdict().alias("verdict"), (F.col("ord") > 4).alias("generated"))
     measured = files.select(
         "repo",
         (F.col("additions") + F.col("deletions")).alias("churn"),
