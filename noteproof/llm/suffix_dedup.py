@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, shuffle_partitions, text_or_empty
+from .common import materialize, shuffle_partitions
 from .shingles import _powers, mixed
 
 LENGTH = 200
@@ -198,60 +199,78 @@ def repeated_offsets(shared: np.ndarray, lefts: list[bytes], low: np.ndarray, hi
     return marked
 
 
-_ANCHORS = "h long, rid long, low long, high long, anchor long"
-_RECORDS = "part int, k1 long, k2 long, rid long, anchor long, shared binary, rests binary, sizes binary, lefts binary, about binary"
+_RUNS = "part int, shared binary, rests binary, sizes binary, lefts binary, about binary"
 
 
-def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _bytes_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def find_grams(numbered: DataFrame, length: int, gram: int) -> DataFrame:
+    """h, rid: k-gram hash of every anchor. numbered: rid, row (with text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, low, high, at = anchors_of(text.encode("utf-8", "surrogatepass"), length, gram)
-                out.append((h.view(np.int64), np.full(len(h), rid), low, high, at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [c.split()[0] for c in _ANCHORS.split(", ")])
+            out = [anchors_of(_bytes_of(t), length, gram)[0].view(np.int64) for t in batch.column(1).to_pylist()]
+            rids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in out])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(rids)], ["h", "rid"])
+
+    return numbered.select("rid", F.col("row.text").alias("text")).mapInArrow(run, "h long, rid long")
 
-    return texts.select("rid", "text").mapInArrow(run, _ANCHORS)
 
+def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple]:
+    """rid, bytes, and hash, first and last start, anchor, content key of each anchor whose k-gram is held.
 
-def make_records(located: DataFrame, parts: int, length: int) -> DataFrame:
-    """Occurrences (k1, k2, rid, anchor) and, per task and range of k-grams, one front-coded run."""
+    Batches of rid, row (with text), grams."""
+    for batch in batches:
+        texts = batch.column(1).field("text").to_pylist()
+        for rid, text, held in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
+            data = _bytes_of(text)
+            h, low, high, at = anchors_of(data, length, gram)
+            kept = np.isin(h.view(np.int64), np.array(held, np.int64))
+            for k, a, b, c in zip(*(x[kept].tolist() for x in (h.view(np.int64), low, high, at)), strict=True):
+                yield rid, data, k, a, b, c, xxhash.xxh3_128_digest(data[a : b + length], c - a << 10 | c - b)
+
+
+def find_occurrences(located: DataFrame, length: int, gram: int) -> DataFrame:
+    """k1, k2 (content key), rid, anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _RECORDS.split(", ")]
-        kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 5]
-        classes: dict[bytes, list] = {}  # content key to (part, suffix, left, low, high, count)
         for batch in batches:
-            k1, k2, rids, ats = [], [], [], []
-            for rid, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                for a in held:
-                    at, low, high = a["anchor"], a["low"], a["high"]
-                    body = data[low : high + length]
-                    key = xxhash.xxh3_128_digest(body, at - low << 10 | at - high)
-                    if (c := classes.get(key)) is None:
-                        classes[key] = [a["h"] % parts, body[at - low : at - low + length], body[: at - low], at - high, at - low, 1]
-                    else:
-                        c[5] = 2
-                    k1.append(int.from_bytes(key[:8], "little", signed=True))
-                    k2.append(int.from_bytes(key[8:], "little", signed=True))
-                    rids.append(rid)
-                    ats.append(at)
-            none = [None] * len(k1)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, k1, k2, rids, ats, *[none] * 5], kinds, strict=True)], names)
+            rows = [(rid, at, key) for rid, _, _, _, _, at, key in _records(iter([batch]), length, gram)]
+            keys = np.frombuffer(b"".join(r[2] for r in rows), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]], ["k1", "k2", "rid", "anchor"]
+            )
+
+    return located.mapInArrow(run, "k1 long, k2 long, rid long, anchor long")
+
+
+def make_runs(located: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """Per task and range of k-grams, one front-coded run of its distinct records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: dict[bytes, list] = {}  # content key to (part, suffix, left, low, high, count)
+        for _, data, h, low, high, at, key in _records(batches, length, gram):
+            if (c := classes.get(key)) is None:
+                classes[key] = [h % parts, data[at : min(at + length, high + length)], data[low:at], at - high, at - low, 1]
+            else:
+                c[5] = 2
         by_part: dict[int, list] = {}
         for key, c in classes.items():
             by_part.setdefault(c[0], []).append((c[1], key, c))
+        del classes
+        pack = zstandard.ZstdCompressor(level=3).compress
         for part, rows in by_part.items():
             rows.sort(key=lambda x: x[:2])
             shared, rests = front_code([x[0] for x in rows])
             lefts = [x[2][2] for x in rows]
             sizes = np.array([[len(r), len(x)] for r, x in zip(rests, lefts, strict=True)], "<u4")
             about = b"".join(x[1] for x in rows) + np.array([x[2][3:6] for x in rows], "<u4").tobytes()
-            blob = [[part], [None], [None], [None], [None], [shared.astype("<u4").tobytes()], [b"".join(rests)], [sizes.tobytes()], [b"".join(lefts)], [about]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(blob, kinds, strict=True)], names)
+            blob = [shared.astype("<u4").tobytes(), b"".join(rests), sizes.tobytes(), b"".join(lefts), about]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in blob]], [c.split()[0] for c in _RUNS.split(", ")])
 
-    return located.select("rid", "text", "anchors").mapInArrow(run, _RECORDS)
+    return located.mapInArrow(run, _RUNS)
 
 
 def _cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
@@ -262,7 +281,9 @@ def _cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
 def merge_part(table: pa.Table, length: int) -> pa.Table:
     """Marked stretches, relative to the anchor, of each content key of one range of k-grams."""
     runs, lefts, keys, about = [], [], [], []
-    for row in table.select(["shared", "rests", "sizes", "lefts", "about"]).to_pylist():
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in table.select(["shared", "rests", "sizes", "lefts", "about"]).to_pylist():
+        row = {k: unpack(v) for k, v in packed.items()}
         sizes = np.frombuffer(row["sizes"], "<u4").reshape(-1, 2)
         n = len(sizes)
         runs.append(Run(np.frombuffer(row["shared"], "<u4").tolist(), _cut(row["rests"], sizes[:, 0])))
@@ -279,37 +300,37 @@ def merge_part(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"k1": key[:, 0], "k2": key[:, 1], "from": 1 - after, "to": length - first})
 
 
-def repeated_spans(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rid, spans (array of from, to): covered stretches of each text that has any; they may overlap.
 
-    ``texts``: rid (unique), text (not null)."""
-    spark = texts.sparkSession
+    ``numbered``: rid (unique), row (a struct with text). Its one exchange by rid serves both
+    readers of the texts here and the caller's join."""
+    spark = numbered.sparkSession
     parts = 4 * shuffle_partitions(spark)
-    anchors = materialize(spark, find_anchors(texts, length, gram), "anchors")
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    kept = anchors.join(twice, "h", "left_semi")
-    per_doc = kept.groupBy("rid").agg(F.collect_list(F.struct("h", "low", "high", "anchor")).alias("anchors"))
-    records = materialize(spark, make_records(texts.join(per_doc, "rid"), parts, length), "records")
-    runs = records.where("part is not null").select("part", "shared", "rests", "sizes", "lefts", "about")
+    grams = materialize(spark, find_grams(numbered, length, gram), "grams")
+    twice = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    per_doc = grams.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("grams"))
+    located = numbered.join(per_doc, "rid").select("rid", "row", "grams")
+    runs = make_runs(located, parts, length, gram)
     stretches = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, length), "k1 long, k2 long, from long, to long").distinct()
-    occurrences = records.where("part is null").select("k1", "k2", "rid", "anchor")
-    found = occurrences.join(stretches, ["k1", "k2"]).select("rid", (F.col("anchor") + F.col("from")).alias("from"), (F.col("anchor") + F.col("to")).alias("to"))
-    spans = materialize(spark, found.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
-    drop_materialized(spark, anchors, records)
-    return spans
+    found = (
+        find_occurrences(located, length, gram).join(stretches, ["k1", "k2"])
+        .select("rid", (F.col("anchor") + F.col("from")).alias("from"), (F.col("anchor") + F.col("to")).alias("to"))
+    )
+    return found.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
     cols = docs.columns
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("rid"))
-    spans = repeated_spans(numbered.select("rid", "text"), length=length, gram=gram)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    spans = repeated_spans(numbered, length=length, gram=gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, kept, end, removed, n = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
+            for text, spans in zip(batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, kept, end, removed, n = _bytes_of(text), [], 0, 0, 0
                 for a, b in sorted((s["from"], s["to"]) for s in spans or ()):
                     if a > end or not n:
                         kept.append(data[end:a])
@@ -326,7 +347,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
                 [batch.column(0), *[pa.array(x, t) for x, t in zip(out, [*[pa.int64()] * 3, pa.binary()], strict=True)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    joined = numbered.join(spans, "rid", "left").select("row", "text", "spans")
+    joined = numbered.join(spans, "rid", "left").select("row", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select(
         *[F.col("row")[c].alias(c) for c in cols], "n_bytes", "n_removed", "n_spans", "kept"
