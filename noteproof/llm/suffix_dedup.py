@@ -76,7 +76,7 @@ def front_code(items: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     shared = np.zeros(len(items), np.int64)
     if not items:
         return shared, []
-    width = max(map(len, items))
+    width = max(1, *map(len, items))
     grid = np.zeros((len(items), width), np.uint8)
     size = np.fromiter(map(len, items), np.int64, len(items))
     grid[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(items), np.uint8)
@@ -320,8 +320,8 @@ def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRA
     return found.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
+def _cut_out(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """row (the document's own columns), n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
     cols = docs.columns
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     spans = repeated_spans(numbered, length=length, gram=gram)
@@ -349,14 +349,18 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -
 
     joined = numbered.join(spans, "rid", "left").select("row", "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select(
-        *[F.col("row")[c].alias(c) for c in cols], "n_bytes", "n_removed", "n_spans", "kept"
-    )
+    return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, text, n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
+    cut = _cut_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram)
+    return cut.select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def deduplicated(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings cut out of text (characters cut apart go too) and n_chars, if any, counted anew."""
-    left = remove_repeats(docs, length=length).select(*docs.columns, "kept")
+    left = _cut_out(docs, length, GRAM).select("row", "kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +368,7 @@ def deduplicated(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    packed = left.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "kept")
+    packed = left.select(F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row"), "kept")
     kind = packed.schema["row"].dataType.simpleString()
     out = packed.mapInArrow(run, f"row {kind}, text string")
     columns = {c: F.col("row")[c] for c in rest} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

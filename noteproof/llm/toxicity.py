@@ -32,6 +32,8 @@ from .common import text_or_empty
 MAX_ROWS = 20_000
 MAX_FEATURES = 2_000
 MIN_DOCUMENTS = 3
+#: Standard errors by which a feature must shift the mean grade: chance alone does so for one in 16,000.
+MIN_SHIFT = 4.0
 PREFIXES = (4, 6, 8)
 RIDGE = 0.5
 STEPS = 400
@@ -71,7 +73,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, *,
     theta = -np.log(share / (1 - share))
     # thresholds as a first one and logs of the steps between them
     free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
-    above = grades[:, None] > np.arange(levels - 1)
     m1 = m2 = None
     for step in range(1, steps + 1):
         theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
@@ -97,7 +98,6 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, *,
             m1, m2 = 0.1 * g, 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, free = w - move[:n_features], free - move[n_features:]
-    del above
     return w, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str = "toxic", max_rows: i
     shift = F.abs(F.col("s") - mean * F.col("n")) / (spread * F.sqrt(F.col("n") * (1 - F.col("n") / (size + 1.0))))
     chosen = (
         known.mapInArrow(count, "f string, n long, s long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        .where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc(shift), "f").limit(max_features).select("f")
+        .where((F.col("n") >= MIN_DOCUMENTS) & (shift >= MIN_SHIFT)).orderBy(F.desc(shift), "f").limit(max_features).select("f")
     )
     names = sorted(r.f for r in chosen.collect())  # at most max_features
     index = {f: k for k, f in enumerate(names)}
@@ -148,10 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str = "toxic", max_rows: i
     return Model({f: float(v) for f, v in zip(names, w, strict=True) if v}, [float(t) for t in theta], float(grades[0]))
 
 
-def score_documents(docs: DataFrame, model: Model, *, cut: float = CUT) -> DataFrame:
-    """All columns of ``docs`` and severity (expected grade) and rejected."""
-    cols = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), text_or_empty().alias("text"))
+def _scored(docs: DataFrame, model: Model, cut: float) -> DataFrame:
+    """row (the document's own columns), severity, rejected."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,10 +159,15 @@ def score_documents(docs: DataFrame, model: Model, *, cut: float = CUT) -> DataF
 
     kind = packed.schema["row"].dataType.simpleString()
     scored = packed.mapInArrow(run, f"row {kind}, severity double")
-    rejected = (F.col("severity") >= cut) if model.thresholds else F.lit(False)
-    return scored.select(*[F.col("row")[c].alias(c) for c in cols], "severity", rejected.alias("rejected"))
+    return scored.withColumn("rejected", (F.col("severity") >= cut) if model.thresholds else F.lit(False))
+
+
+def score_documents(docs: DataFrame, model: Model, *, cut: float = CUT) -> DataFrame:
+    """doc_id, severity (expected grade), rejected."""
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, cut)
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "severity", "rejected")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, *, cut: float = CUT) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return score_documents(docs, fit(docs, labels), cut=cut).where("not rejected").select(*docs.columns)
+    return _scored(docs, fit(docs, labels), cut).where("not rejected").select(*[F.col("row")[c].alias(c) for c in docs.columns])
