@@ -200,7 +200,10 @@ def _judged(
             .alias("n_symbols"),
             duplicate_lines(text).cast("long").alias("n_dup_lines"),
         )
-        .select("row", "n_symbols", "n_dup_lines", "m.*")
+        .select("row", F.struct("m.*", "n_symbols", "n_dup_lines").alias("m"))
+        # a generator's output is where filters stop: pushed further down they would compute m once per use
+        .select("row", F.explode_outer(F.array("m")).alias("m"))
+        .select("row", "m.*")
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumns(
