@@ -207,15 +207,16 @@ def _bytes_of(text: str | None) -> bytes:
 
 
 def find_grams(numbered: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, rid: k-gram hash of every anchor. numbered: rid, row (with text)."""
+    """h, rid, n: each k-gram hash of a text's anchors once, n 2 if it is there more often. numbered: rid, row (with text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [anchors_of(_bytes_of(t), length, gram)[0].view(np.int64) for t in batch.column(1).to_pylist()]
-            rids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(rids)], ["h", "rid"])
+            found = [np.unique(anchors_of(_bytes_of(t), length, gram)[0].view(np.int64), return_counts=True) for t in batch.column(1).to_pylist()]
+            rids = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
+            many = np.minimum(np.concatenate([n for _, n in found]), 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(rids), pa.array(many)], ["h", "rid", "n"])
 
-    return numbered.select("rid", F.col("row.text").alias("text")).mapInArrow(run, "h long, rid long")
+    return numbered.select("rid", F.col("row.text").alias("text")).mapInArrow(run, "h long, rid long, n int")
 
 
 def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple]:
@@ -308,8 +309,8 @@ def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRA
     spark = numbered.sparkSession
     parts = 4 * shuffle_partitions(spark)
     grams = materialize(spark, find_grams(numbered, length, gram), "grams")
-    twice = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    per_doc = grams.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_set("h").alias("grams"))
+    twice = grams.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    per_doc = grams.join(twice, "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("grams"))
     located = numbered.join(per_doc, "rid").select("rid", "row", "grams")
     runs = make_runs(located, parts, length, gram)
     stretches = runs.groupBy("part").applyInArrow(lambda t: merge_part(t, length), "k1 long, k2 long, from long, to long").distinct()
