@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shuffle_partitions, text_or_empty
+from .common import drop_materialized, materialize, shuffle_partitions, text_or_empty
 
 MAX_BITS = 16
 LANE = 256
@@ -123,23 +123,32 @@ class Decoder:
         return out.reshape(-1)[:n]
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
+def encoded_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id, ids: little-endian unsigned 32-bit ids of the whole text and the end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = tokens.library(path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = [x + end for x in enc.encode_batch(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")
+
+
+def count_ids(encoded: DataFrame, end_id: int) -> np.ndarray:
     """Occurrences of each id over all documents; one row per id and task goes to the driver's sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.library(path)
         total = np.zeros(1, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            got = np.bincount(np.frombuffer(b"".join(enc.encode_batch(texts)), "<u4"), minlength=end_id + 1)
-            got[end_id] += len(texts)
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r.id for r in rows)]) + 1, np.int64)  # one row per vocabulary entry
     for r in rows:
         counts[r.id] = r.n
@@ -152,17 +161,16 @@ _BLOCKS = "file long, block long, doc_ids array<long>, doc_tokens array<long>, s
 def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, max_bits: int = MAX_BITS) -> None:
     """Write all documents, each followed by ``end_id``, in ascending doc_id order."""
     spark = docs.sparkSession
-    lengths = code_lengths(count_ids(docs, path, end_id), max_bits)
+    # encoded once: counted, then dealt out in order; zstd folds the unused upper bytes
+    encoded = materialize(spark, encoded_documents(docs, path, end_id), "ids", compression="zstd")
+    lengths = code_lengths(count_ids(encoded, end_id), max_bits)
     codes = canonical_codes(lengths)
-    cast = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = cast.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = encoded.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, file = tokens.library(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        block, start = 0, 0
+        file, block, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []
 
         def flush() -> pa.RecordBatch:
@@ -179,9 +187,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, m
 
         for batch in batches:
             size = sum(len(x) for _, x in held) // 4
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_batch(batch.column(1).to_pylist()), strict=True):
-                held.append((doc, ids + end))
-                size += len(ids) // 4 + 1
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((doc, ids))
+                size += len(ids) // 4
                 if size >= BLOCK_IDS:
                     yield flush()
                     size = 0
@@ -189,6 +197,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, m
             yield flush()
 
     ordered.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    drop_materialized(spark, encoded)
     blocks = spark.read.parquet(f"{folder}/blocks")
     per_file = blocks.select("file", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("file").agg(F.sum("n").alias("n_ids"))
     sizes = sorted((r.file, r.n_ids) for r in per_file.collect())  # one row per file

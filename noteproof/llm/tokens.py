@@ -17,6 +17,8 @@ import numpy as np
 
 #: Entries of the per-process table of runs, checked before each batch; it is emptied when full.
 RUN_TABLE = 150_000
+#: The same where one Python worker serves a core.
+WIDE_RUN_TABLE = 400_000
 
 #: Unicode White_Space. ``str.split`` also splits at U+001C-U+001F, which do not belong to it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -52,6 +54,8 @@ def by_length(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, in
 class RunTable:
     """Ids of runs, as little-endian unsigned 32-bit integers; subclasses encode single words."""
 
+    most = RUN_TABLE
+
     def __init__(self, spec: dict) -> None:
         import regex
 
@@ -113,7 +117,7 @@ class RunTable:
         for low, high in by_length(texts):
             runs = [space_split(t) for t in texts[low:high]]
             flat = list(chain.from_iterable(runs))
-            if len(self.table) > RUN_TABLE or len(self.words) > RUN_TABLE:
+            if len(self.table) > self.most or len(self.words) > self.most:
                 self.table.clear()
                 self.words.clear()
             parts = list(map(self.table.get, flat))
@@ -132,6 +136,8 @@ class RunTable:
 class LibraryIds(RunTable):
     """Words encoded by the tokenizers library's own model."""
 
+    most = WIDE_RUN_TABLE
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
