@@ -20,6 +20,7 @@ null doc_ids sort first; empty input writes no blocks and reads back empty.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,25 +124,33 @@ class Decoder:
         return out.reshape(-1)[:n]
 
 
+def id_type(path: str, end_id: int) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    largest = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def encoded_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids: little-endian unsigned 32-bit ids of the whole text and the end id."""
+    """doc_id, ids: ids of the whole text and the end id, as little-endian unsigned integers of ``id_type``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.library(path), np.array([end_id], "<u4").tobytes()
+        enc, end, kind = tokens.library(path), np.array([end_id], "<u4").tobytes(), id_type(path, end_id)
         for batch in batches:
-            ids = [x + end for x in enc.encode_batch(batch.column(1).to_pylist())]
+            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in enc.encode_batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def count_ids(encoded: DataFrame, end_id: int) -> np.ndarray:
+def count_ids(encoded: DataFrame, end_id: int, kind: str) -> np.ndarray:
     """Occurrences of each id over all documents; one row per id and task goes to the driver's sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            got = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
@@ -161,9 +170,11 @@ _BLOCKS = "file long, block long, doc_ids array<long>, doc_tokens array<long>, s
 def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, max_bits: int = MAX_BITS) -> None:
     """Write all documents, each followed by ``end_id``, in ascending doc_id order."""
     spark = docs.sparkSession
-    # encoded once: counted, then dealt out in order; zstd folds the unused upper bytes
+    kind = id_type(path, end_id)
+    wide = int(kind[-1])
+    # encoded once: counted, then dealt out in order
     encoded = materialize(spark, encoded_documents(docs, path, end_id), "ids", compression="zstd")
-    lengths = code_lengths(count_ids(encoded, end_id), max_bits)
+    lengths = code_lengths(count_ids(encoded, end_id, kind), max_bits)
     codes = canonical_codes(lengths)
     ordered = encoded.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
 
@@ -175,8 +186,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, m
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start
-            sizes = np.array([len(x) // 4 for _, x in held], np.int64)
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            sizes = np.array([len(x) // wide for _, x in held], np.int64)
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             payload, at = pack_bits(ids, codes, lengths)
             starts = start + np.cumsum(sizes) - sizes
             columns = [[file], [block], [[d for d, _ in held]], [sizes], [starts], [payload], [at[::LANE].astype(np.int32)]]
@@ -186,10 +197,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, m
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
         for batch in batches:
-            size = sum(len(x) for _, x in held) // 4
+            size = sum(len(x) for _, x in held) // wide
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((doc, ids))
-                size += len(ids) // 4
+                size += len(ids) // wide
                 if size >= BLOCK_IDS:
                     yield flush()
                     size = 0
