@@ -99,7 +99,7 @@ def truncate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS shown FROM pages
 """)
 def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapt.table(spark, sf_dir, "pages").select("page_id", T.escaped(F.substring("html", 1, 400)).alias("shown"))
+    return adapt.table(spark, sf_dir, "pages").select("page_id", T.escaped(F.col("html")).alias("shown"))
 
 
 @query("""
