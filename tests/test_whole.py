@@ -31,3 +31,14 @@ def test_escape_html(spark, duck):
     same(spark, duck, "escape_html", """
 SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS shown FROM pages
 """)
+
+
+def test_anchor_join(spark, duck):
+    same(spark, duck, "anchor_join", "SELECT 'c' || event_id AS claim, o_orderkey::VARCHAR AS sha FROM events JOIN orders ON o_orderkey = event_id % 20000")
+
+
+def test_prefix_join(spark, duck):
+    same(spark, duck, "prefix_join", """
+WITH c AS (SELECT md5(o_orderkey::VARCHAR) AS sha FROM orders), k AS (SELECT o_orderkey AS claim, substr(md5(o_orderkey::VARCHAR), 1, 7 + (o_orderkey % 6)::INT) AS cited FROM orders)
+SELECT claim, sha FROM k JOIN c ON starts_with(sha, cited)
+""")
