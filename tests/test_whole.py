@@ -42,3 +42,11 @@ def test_prefix_join(spark, duck):
 WITH c AS (SELECT md5(o_orderkey::VARCHAR) AS sha FROM orders), k AS (SELECT o_orderkey AS claim, substr(md5(o_orderkey::VARCHAR), 1, 7 + (o_orderkey % 6)::INT) AS cited FROM orders)
 SELECT claim, sha FROM k JOIN c ON starts_with(sha, cited)
 """)
+
+
+def test_new_suppliers(spark, duck):
+    same(spark, duck, "new_suppliers", """
+WITH e AS (SELECT DISTINCT p_name AS name, s_nationkey AS root, year(l_shipdate) AS y FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+k AS (SELECT * FROM e WHERE y < 1993)
+SELECT DISTINCT name, root FROM e WHERE y >= 1993 AND name NOT IN (SELECT name FROM k) AND root NOT IN (SELECT root FROM k WHERE root % 2 = 0)
+""")
