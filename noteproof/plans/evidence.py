@@ -157,8 +157,8 @@ def bump_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = adapt.table(spark, sf_dir, "part")
     version = lambda c: F.concat(F.lit("2."), c.cast("string"))
     a, b = F.col("p_size") % 7, F.col("p_size") % 11
-    moved = part.where((F.col("p_partkey") % 9 == 0) & (a < b) & (b - a <= 4)).select(F.col("p_brand").alias("name"), version(a).alias("from"), version(b).alias("to")).distinct()
-    claims = part.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("claim"), F.col("p_brand").alias("name"), version(F.col("p_size") % 9).alias("to"))
+    moved = part.where(a != b).select(F.col("p_brand").alias("name"), version(a).alias("from"), version(b).alias("to")).distinct()
+    claims = part.select(F.col("p_partkey").alias("claim"), F.col("p_brand").alias("name"), version(F.col("p_size") % 9).alias("to"))
     return pins.bump_verdicts(claims, moved).select("claim", "verdict", "pin_from", "pin_to")
 
 

@@ -50,3 +50,11 @@ WITH e AS (SELECT DISTINCT p_name AS name, s_nationkey AS root, year(l_shipdate)
 k AS (SELECT * FROM e WHERE y < 1993)
 SELECT DISTINCT name, root FROM e WHERE y >= 1993 AND name NOT IN (SELECT name FROM k) AND root NOT IN (SELECT root FROM k WHERE root % 2 = 0)
 """)
+
+
+def test_bump_interval(spark, duck):
+    same(spark, duck, "bump_interval", """
+WITH pins AS (SELECT DISTINCT p_brand AS name, p_size % 7 AS a, p_size % 11 AS b FROM part WHERE a <> b), c AS (SELECT p_partkey AS claim, p_brand AS name, p_size % 9 AS said FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN b = said THEN 0 ELSE 1 END, b DESC, a) AS k FROM c LEFT JOIN pins USING (name))
+SELECT claim, CASE WHEN b IS NULL THEN 'unmatched' WHEN b = said THEN 'confirmed' WHEN b > said AND a < said THEN 'overtaken' ELSE 'contradicted' END AS verdict, '2.' || a AS pin_from, '2.' || b AS pin_to FROM r WHERE k = 1
+""")
