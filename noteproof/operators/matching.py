@@ -44,6 +44,16 @@ def lexical_scores(hits: DataFrame, keys: list[str], weight: Column) -> DataFram
     return hits.select(*keys, "term").distinct().groupBy(*keys).agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("terms"))
 
 
+def confirmed_pairs(findings: DataFrame, claims: DataFrame, finding_key: str, claim_key: str, bar: int = 3) -> DataFrame:
+    """finding_key, claim_key, score: claims whose terms lie in a finding's text with a weight of ``bar`` or more.
+
+    findings: finding_key, text; claims: claim_key, term, spanned (the term is a code span: 3, else 2)."""
+    hits = contained_terms(findings, claims.select(claim_key, "term"), finding_key, claim_key)
+    weight = F.when(F.col("spanned"), 3).otherwise(2)
+    scored = hits.join(claims.select(claim_key, "term", "spanned"), [claim_key, "term"]).groupBy(finding_key, claim_key).agg(F.sum(weight).alias("score"))
+    return scored.where(F.col("score") >= bar)
+
+
 def breadth_covered(files: DataFrame, mentions: DataFrame) -> DataFrame:
     """sha, claim: relational division - the claim cites every file of the commit.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapt
 from ..functions import repair
 from ..functions import text as T
+from ..operators import matching
 from ..registry import query
 from ..sources import notes
 from ..streaming import ledger
@@ -73,11 +74,10 @@ UNION ALL SELECT 'unsupported', count(*) FROM benchmark WHERE item_id NOT IN (SE
 """)
 def reconcile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and claims paired by shared identifiers; what stays alone on either side."""
-    ids = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0))).alias("id")
     claims, findings = adapt.table(spark, sf_dir, "benchmark"), adapt.table(spark, sf_dir, "documents")
-    paired = (
-        claims.select("item_id", ids).join(findings.select("doc_id", ids), "id").groupBy("item_id", "doc_id").agg((2 * F.count(F.lit(1))).alias("score")).where("score >= 12")
-    )
+    asked = claims.select("item_id", T.code_spans(F.col("text")).alias("spans"), F.explode(T.terms(F.col("text"))).alias("term"))
+    asked = asked.select("item_id", "term", F.array_contains("spans", F.col("term")).alias("spanned"))
+    paired = matching.confirmed_pairs(findings.select("doc_id", "text"), asked, "doc_id", "item_id")
     count = lambda name, df: df.agg(F.lit(name).alias("state"), F.count(F.lit(1)).alias("n"))
     return (
         count("confirmed", paired)

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from noteproof import plans, registry
+from noteproof.functions.text import STOPWORDS
+from noteproof.operators import matching
 
 plans.load()
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,21 @@ WITH pins AS (SELECT DISTINCT p_brand AS name, p_size % 7 AS a, p_size % 11 AS b
 r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN b = said THEN 0 ELSE 1 END, b DESC, a) AS k FROM c LEFT JOIN pins USING (name))
 SELECT claim, CASE WHEN b IS NULL THEN 'unmatched' WHEN b = said THEN 'confirmed' WHEN b > said AND a < said THEN 'overtaken' ELSE 'contradicted' END AS verdict, '2.' || a AS pin_from, '2.' || b AS pin_to FROM r WHERE k = 1
 """)
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+TERMS = f"t AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.-]{{3,}}')) AS term FROM benchmark) WHERE NOT list_contains({STOP}, lower(term)))"
+
+
+def test_reconcile_findings(spark, duck):
+    same(spark, duck, "reconcile_findings", f"""
+WITH {TERMS}, s AS (SELECT item_id, doc_id, 2 * count(*) AS score FROM t JOIN documents ON contains(text, term) GROUP BY ALL), p AS (SELECT * FROM s WHERE score >= 3)
+SELECT 'confirmed' AS state, count(*) AS n FROM p UNION ALL SELECT 'undocumented', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)
+UNION ALL SELECT 'unsupported', count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p)
+""")
+
+
+def test_confirmed_pairs_need_a_span_or_two_words(spark):
+    findings = spark.createDataFrame([(1, "uses load_config_file"), (2, "one alpha_x here"), (3, "alpha_xy and beta.go")], "f long, text string")
+    claims = spark.createDataFrame([(7, "load_config", True), (8, "alpha_x", False), (8, "beta.go", False)], "c long, term string, spanned boolean")
+    assert {(r.f, r.c, r.score) for r in matching.confirmed_pairs(findings, claims, "f", "c").collect()} == {(1, 7, 3), (3, 8, 4)}
