@@ -44,7 +44,7 @@ SELECT doc_id, item_id, sum(CASE WHEN regexp_matches(term, '_|^--|[a-z][A-Z]|^[A
 FROM documents JOIN terms ON contains(text, term) GROUP BY doc_id, item_id HAVING score >= 2
 """)
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = adapt.table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.\\-]{7,}"), 0))).alias("term"))
+    needles = adapt.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
     hits = matching.contained_terms(adapt.table(spark, sf_dir, "documents").select("doc_id", "text"), needles.distinct(), "doc_id", "item_id")
     return matching.lexical_scores(hits, ["doc_id", "item_id"], T.term_weight(F.col("term"), F.array().cast("array<string>"))).where("score >= 2")
 
@@ -52,10 +52,6 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKEN_SQL = "list_distinct([x FOR x IN regexp_split_to_array(lower({}), '[^a-z0-9]+') IF length(x) >= 5])"
 
 
-def _words(text: str):
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda x: F.length(x) >= 5))
-
-
 @query(f"""
 WITH c AS (SELECT item_id AS claim, unnest({_TOKEN_SQL.format("text")}) AS token FROM benchmark),
 h AS (SELECT doc_id AS hunk, unnest({_TOKEN_SQL.format("text")}) AS token FROM documents),
@@ -64,8 +60,8 @@ s AS (SELECT claim, hunk, round(sum(ln(1 + total::DOUBLE / df)), 6) AS score FRO
 SELECT claim, hunk, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY score DESC, hunk) AS rank FROM s) WHERE rank <= 6
 """)
 def hunk_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = adapt.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), F.explode(_words("text")).alias("token"))
-    hunks = adapt.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hunk"), F.explode(_words("text")).alias("token"))
+    claims = adapt.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    hunks = adapt.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("hunk"), F.explode(T.tokens(F.col("text"))).alias("token"))
     return matching.hunk_ranks(claims, hunks)
 
 
@@ -76,8 +72,8 @@ s AS (SELECT a, b, count(*) AS n FROM a JOIN b USING (token) GROUP BY a, b), o A
 SELECT a, b, overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS rank FROM o WHERE overlap > 0.3) WHERE rank <= 3
 """)
 def related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = adapt.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), F.explode(_words("text")).alias("token"))
-    right = adapt.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), F.explode(_words("text")).alias("token"))
+    left = adapt.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    right = adapt.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("b"), F.explode(T.tokens(F.col("text"))).alias("token"))
     return matching.related(left, right)
 
 

@@ -30,14 +30,13 @@ h AS (SELECT item_id, kind, count(DISTINCT CASE WHEN lang = 'en' THEN id END) AS
 SELECT item_id, kind, CASE WHEN kind = 'addition' AND plus > 0 THEN 'kept' WHEN kind = 'removal' AND minus > 0 THEN 'kept' ELSE 'open' END AS state, plus, minus FROM h
 """)
 def promise_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers of promises met on the side that proves them: additions or removals."""
-    ids = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), 0))).alias("id")
+    """Terms of promises found inside texts of the side that proves them: additions or removals; others stay open."""
     kind = F.when(F.col("item_id") % 3 == 0, "removal").otherwise("addition").alias("kind")
-    promised = adapt.table(spark, sf_dir, "benchmark").select("item_id", kind, ids)
-    seen = adapt.table(spark, sf_dir, "documents").select((F.col("lang") == "en").alias("plus"), ids).distinct()
-    met = promised.join(seen, "id").groupBy("item_id", "kind").agg(
-        F.countDistinct(F.when(F.col("plus"), F.col("id"))).alias("plus"), F.countDistinct(F.when(~F.col("plus"), F.col("id"))).alias("minus")
-    )
+    items = adapt.table(spark, sf_dir, "benchmark").select("item_id", "text", kind)
+    promised = items.select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    seen = adapt.table(spark, sf_dir, "documents").select((F.col("lang") == "en").alias("plus"), "text")
+    sides = matching.contained_terms(seen, promised, "plus", "item_id").groupBy("item_id").agg(F.count_if("plus").alias("plus"), F.count_if(~F.col("plus")).alias("minus"))
+    met = items.select("item_id", "kind").join(sides, "item_id", "left").na.fill(0, ["plus", "minus"])
     kept = ((F.col("kind") == "addition") & (F.col("plus") > 0)) | ((F.col("kind") == "removal") & (F.col("minus") > 0))
     return met.select("item_id", "kind", F.when(kept, "kept").otherwise("open").alias("state"), "plus", "minus")
 

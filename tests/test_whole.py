@@ -78,3 +78,52 @@ def test_confirmed_pairs_need_a_span_or_two_words(spark):
     findings = spark.createDataFrame([(1, "uses load_config_file"), (2, "one alpha_x here"), (3, "alpha_xy and beta.go")], "f long, text string")
     claims = spark.createDataFrame([(7, "load_config", True), (8, "alpha_x", False), (8, "beta.go", False)], "c long, term string, spanned boolean")
     assert {(r.f, r.c, r.score) for r in matching.confirmed_pairs(findings, claims, "f", "c").collect()} == {(1, 7, 3), (3, 8, 4)}
+
+
+def test_lexical_match(spark, duck):
+    same(spark, duck, "lexical_match", f"""
+WITH {TERMS}
+SELECT doc_id, item_id, sum(CASE WHEN regexp_matches(term, '_|^--|[a-z][A-Z]|^[A-Za-z0-9_-]+\\.[a-z]{{1,4}}$|^\\d+\\.\\d+\\.\\d+|[/$@#%:]|[A-Za-z]\\d|\\d[A-Za-z]|-.*-') THEN 2 ELSE 1 END)::BIGINT AS score, count(*) AS terms
+FROM documents JOIN t ON contains(text, term) GROUP BY doc_id, item_id HAVING score >= 2
+""")
+
+
+def test_promise_check(spark, duck):
+    same(spark, duck, "promise_check", f"""
+WITH {TERMS}, h AS (SELECT item_id, count(DISTINCT CASE WHEN lang = 'en' THEN term END) AS plus, count(DISTINCT CASE WHEN lang <> 'en' THEN term END) AS minus FROM t JOIN documents ON contains(text, term) GROUP BY item_id),
+i AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'removal' ELSE 'addition' END AS kind, coalesce(plus, 0) AS plus, coalesce(minus, 0) AS minus FROM benchmark LEFT JOIN h USING (item_id))
+SELECT item_id, kind, CASE WHEN kind = 'addition' AND plus > 0 THEN 'kept' WHEN kind = 'removal' AND minus > 0 THEN 'kept' ELSE 'open' END AS state, plus, minus FROM i
+""")
+
+
+def test_promises_without_a_hit_stay_open(spark, tmp_path):
+    spark.createDataFrame([(1, "new_thing"), (2, "absent_one"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "a new_thing_here", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["promise_check"](spark, str(tmp_path)).collect()
+    assert {r.item_id: (r.state, r.plus, r.minus) for r in got} == {1: ("kept", 1, 0), 2: ("open", 0, 0), 3: ("open", 0, 0)}
+
+
+def tokens(text):
+    return (
+        f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array({text}, '[^A-Za-z0-9_.-]+'), lambda w: w <> ''), "
+        f"lambda w: list_concat(list_filter([lower(w)], lambda x: length(x) >= 2 AND NOT list_contains({STOP}, x)), "
+        f"list_filter(list_transform(regexp_split_to_array(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda p: lower(p)), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))))))"
+    )
+
+
+def test_hunk_rank_topk(spark, duck):
+    same(spark, duck, "hunk_rank_topk", f"""
+WITH c AS (SELECT item_id AS claim, unnest({tokens("text")}) AS token FROM benchmark), h AS (SELECT doc_id AS hunk, unnest({tokens("text")}) AS token FROM documents),
+n AS (SELECT count(DISTINCT hunk) AS total FROM h), d AS (SELECT token, count(*) AS df FROM h WHERE token IN (SELECT token FROM c) GROUP BY token),
+s AS (SELECT claim, hunk, round(sum(ln(1 + total::DOUBLE / df)), 6) AS score FROM c JOIN d USING (token) JOIN h USING (token), n GROUP BY claim, hunk)
+SELECT claim, hunk, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY score DESC, hunk) AS rank FROM s) WHERE rank <= 6
+""")
+
+
+def test_related_topk(spark, duck):
+    same(spark, duck, "related_topk", f"""
+WITH a AS (SELECT item_id AS a, unnest({tokens("text")}) AS token FROM benchmark), b AS (SELECT doc_id AS b, unnest({tokens("text")}) AS token FROM documents),
+na AS (SELECT a, count(*) AS na FROM a GROUP BY a), nb AS (SELECT b, count(*) AS nb FROM b GROUP BY b),
+s AS (SELECT a, b, count(*) AS n FROM a JOIN b USING (token) GROUP BY a, b), o AS (SELECT a, b, round(n::DOUBLE / least(na, nb), 6) AS overlap FROM s JOIN na USING (a) JOIN nb USING (b))
+SELECT a, b, overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS rank FROM o WHERE overlap > 0.3) WHERE rank <= 3
+""")
