@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def repair_json(raw: str | None) -> str | None:
     """The first object in a text as valid JSON; null if there is none.
 
-    Scans once with a stack of open brackets; where the text ends early, an open string is closed,
-    a dangling comma, key or colon dropped, and the brackets closed in turn."""
+    Scans once with a stack of open brackets, noting the places where the text could end: before a
+    comma and after an opening bracket. Where it ends early, an open string is closed and the
+    brackets in turn; if that leaves a dangling key or colon, the last place that gives valid JSON ends it."""
     if raw is None or (start := raw.find("{")) < 0:
         return None
     stack: list[str] = []
+    places: list[tuple[int, str]] = []  # end, closing brackets
     quoted = escaped = False
     text = raw[start:]
     for k, c in enumerate(text):
@@ -31,27 +33,18 @@ def repair_json(raw: str | None) -> str | None:
             quoted = True
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
+            places.append((k + 1, "".join(reversed(stack))))
+        elif c == ",":
+            places.append((k, "".join(reversed(stack))))
         elif c in "}]":
             if not stack or stack.pop() != c:
                 return None
             if not stack:
                 return text[: k + 1] if _valid(text[: k + 1]) else None
     closers = "".join(reversed(stack))
-    body = text[:-1] if escaped else text
-    tries = [body + ('"' if quoted else "") + closers]
-    trimmed = body + ('"' if quoted else "")
-    while trimmed:
-        trimmed = trimmed.rstrip()
-        tries.append(trimmed.rstrip(",: \n\t") + closers)
-        cut = max(trimmed.rfind(","), trimmed.rfind("{"), trimmed.rfind("["))
-        if cut <= 0:
-            tries.append("{}")
-            break
-        trimmed = trimmed[:cut] if trimmed[cut] == "," else trimmed[: cut + 1]
-        tries.append(trimmed + closers)
-        if len(tries) > 8:
-            break
-    return next((t for t in tries if _valid(t)), None)
+    body = (text[:-1] if escaped else text) + ('"' if quoted else "")
+    tries = [body + closers, body.rstrip(",: \n\t") + closers]
+    return next((t for t in tries if _valid(t)), None) or next((t for end, close in reversed(places) if _valid(t := text[:end] + close)), None)
 
 
 def _valid(text: str) -> bool:

@@ -10,10 +10,11 @@ from ..functions import text as T
 from ..operators import matching, pins, surface
 from ..registry import query
 from .scores import _COMMITS_SQL, _FILES_SQL
+from .sql import TERMS_SQL, tokens_sql
 
 
 @query("""
-SELECT 'c' || e.event_id AS claim, o_orderkey::VARCHAR AS sha FROM events e JOIN orders ON o_orderkey = e.event_id % 20000 WHERE e.event_type = 'click' OR e.event_id % 3 = 0
+SELECT 'c' || event_id AS claim, o_orderkey::VARCHAR AS sha FROM events JOIN orders ON o_orderkey = event_id % 20000
 """)
 def anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapt.table(spark, sf_dir, "events")
@@ -23,7 +24,7 @@ def anchor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT md5(o_orderkey::VARCHAR) AS sha FROM orders), k AS (SELECT o_orderkey AS claim, substr(md5(o_orderkey::VARCHAR), 1, 7 + (o_orderkey % 6)::INT) AS cited FROM orders WHERE o_orderkey % 7 = 0)
+WITH c AS (SELECT md5(o_orderkey::VARCHAR) AS sha FROM orders), k AS (SELECT o_orderkey AS claim, substr(md5(o_orderkey::VARCHAR), 1, 7 + (o_orderkey % 6)::INT) AS cited FROM orders)
 SELECT claim, sha FROM k JOIN c ON starts_with(sha, cited)
 """)
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +36,10 @@ def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.anchors(claims, commits).select("claim", "sha")
 
 
-_TERMS = "terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.-]{7,}')) AS term FROM benchmark)"
-
-
 @query(f"""
-WITH {_TERMS}
+WITH {TERMS_SQL}
 SELECT doc_id, item_id, sum(CASE WHEN regexp_matches(term, '_|^--|[a-z][A-Z]|^[A-Za-z0-9_-]+\\.[a-z]{{1,4}}$|^\\d+\\.\\d+\\.\\d+|[/$@#%:]|[A-Za-z]\\d|\\d[A-Za-z]|-.*-') THEN 2 ELSE 1 END)::BIGINT AS score, count(*) AS terms
-FROM documents JOIN terms ON contains(text, term) GROUP BY doc_id, item_id HAVING score >= 2
+FROM documents JOIN t ON contains(text, term) GROUP BY doc_id, item_id HAVING score >= 2
 """)
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = adapt.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
@@ -49,12 +47,8 @@ def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.lexical_scores(hits, ["doc_id", "item_id"], T.term_weight(F.col("term"), F.array().cast("array<string>"))).where("score >= 2")
 
 
-_TOKEN_SQL = "list_distinct([x FOR x IN regexp_split_to_array(lower({}), '[^a-z0-9]+') IF length(x) >= 5])"
-
-
 @query(f"""
-WITH c AS (SELECT item_id AS claim, unnest({_TOKEN_SQL.format("text")}) AS token FROM benchmark),
-h AS (SELECT doc_id AS hunk, unnest({_TOKEN_SQL.format("text")}) AS token FROM documents),
+WITH c AS (SELECT item_id AS claim, unnest({tokens_sql("text")}) AS token FROM benchmark), h AS (SELECT doc_id AS hunk, unnest({tokens_sql("text")}) AS token FROM documents),
 n AS (SELECT count(DISTINCT hunk) AS total FROM h), d AS (SELECT token, count(*) AS df FROM h WHERE token IN (SELECT token FROM c) GROUP BY token),
 s AS (SELECT claim, hunk, round(sum(ln(1 + total::DOUBLE / df)), 6) AS score FROM c JOIN d USING (token) JOIN h USING (token), n GROUP BY claim, hunk)
 SELECT claim, hunk, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY score DESC, hunk) AS rank FROM s) WHERE rank <= 6
@@ -66,7 +60,7 @@ def hunk_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT item_id AS a, unnest({_TOKEN_SQL.format("text")}) AS token FROM benchmark), b AS (SELECT doc_id AS b, unnest({_TOKEN_SQL.format("text")}) AS token FROM documents),
+WITH a AS (SELECT item_id AS a, unnest({tokens_sql("text")}) AS token FROM benchmark), b AS (SELECT doc_id AS b, unnest({tokens_sql("text")}) AS token FROM documents),
 na AS (SELECT a, count(*) AS na FROM a GROUP BY a), nb AS (SELECT b, count(*) AS nb FROM b GROUP BY b),
 s AS (SELECT a, b, count(*) AS n FROM a JOIN b USING (token) GROUP BY a, b), o AS (SELECT a, b, round(n::DOUBLE / least(na, nb), 6) AS overlap FROM s JOIN na USING (a) JOIN nb USING (b))
 SELECT a, b, overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS rank FROM o WHERE overlap > 0.3) WHERE rank <= 3
@@ -143,11 +137,9 @@ def pin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT p_brand AS name, p_size % 7 AS a, p_size % 11 AS b, p_partkey FROM part WHERE p_partkey % 3 = 0), c AS (SELECT p_partkey AS claim, p_brand AS name, p_size % 9 AS said FROM part WHERE p_partkey % 3 = 1),
-pins AS (SELECT DISTINCT name, a, b FROM p WHERE a < b AND b - a <= 4 AND p_partkey % 9 = 0),
-m AS (SELECT claim, name, said, a, b, CASE WHEN b IS NULL THEN 'unmatched' WHEN b = said THEN 'confirmed' WHEN b > said AND a < said THEN 'overtaken' ELSE 'contradicted' END AS verdict FROM c LEFT JOIN pins USING (name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY CASE verdict WHEN 'confirmed' THEN 0 WHEN 'overtaken' THEN 1 ELSE 2 END, '2.' || b, '2.' || a) AS k FROM m)
-SELECT claim, verdict, '2.' || a AS pin_from, '2.' || b AS pin_to FROM r WHERE k = 1
+WITH pins AS (SELECT DISTINCT p_brand AS name, p_size % 7 AS a, p_size % 11 AS b FROM part WHERE a <> b), c AS (SELECT p_partkey AS claim, p_brand AS name, p_size % 9 AS said FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN b = said THEN 0 ELSE 1 END, b DESC, a) AS k FROM c LEFT JOIN pins USING (name))
+SELECT claim, CASE WHEN b IS NULL THEN 'unmatched' WHEN b = said THEN 'confirmed' WHEN b > said AND a < said THEN 'overtaken' ELSE 'contradicted' END AS verdict, '2.' || a AS pin_from, '2.' || b AS pin_to FROM r WHERE k = 1
 """)
 def bump_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = adapt.table(spark, sf_dir, "part")
@@ -185,7 +177,7 @@ def account_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT p_name AS name, s_nationkey AS root, year(l_shipdate) AS y FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45 AND l_partkey % 40 < 3),
+WITH e AS (SELECT DISTINCT p_name AS name, s_nationkey AS root, year(l_shipdate) AS y FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
 k AS (SELECT * FROM e WHERE y < 1993)
 SELECT DISTINCT name, root FROM e WHERE y >= 1993 AND name NOT IN (SELECT name FROM k) AND root NOT IN (SELECT root FROM k WHERE root % 2 = 0)
 """)

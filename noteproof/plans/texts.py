@@ -12,6 +12,7 @@ from ..operators import matching
 from ..registry import query
 from ..sources import notes
 from ..streaming import ledger
+from .sql import TERMS_SQL
 
 
 @query("""
@@ -23,11 +24,10 @@ def corpus_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key")
 
 
-@query("""
-WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key, list_distinct(regexp_extract_all(text, '[A-Za-z]{8,}')) AS ids, CASE WHEN item_id % 3 = 0 THEN 'removal' ELSE 'addition' END AS kind FROM benchmark),
-i AS (SELECT item_id, kind, unnest(ids) AS id FROM b), w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS id FROM documents),
-h AS (SELECT item_id, kind, count(DISTINCT CASE WHEN lang = 'en' THEN id END) AS plus, count(DISTINCT CASE WHEN lang <> 'en' THEN id END) AS minus FROM i JOIN w USING (id) GROUP BY item_id, kind)
-SELECT item_id, kind, CASE WHEN kind = 'addition' AND plus > 0 THEN 'kept' WHEN kind = 'removal' AND minus > 0 THEN 'kept' ELSE 'open' END AS state, plus, minus FROM h
+@query(f"""
+WITH {TERMS_SQL}, h AS (SELECT item_id, count(DISTINCT CASE WHEN lang = 'en' THEN term END) AS plus, count(DISTINCT CASE WHEN lang <> 'en' THEN term END) AS minus FROM t JOIN documents ON contains(text, term) GROUP BY item_id),
+i AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'removal' ELSE 'addition' END AS kind, coalesce(plus, 0) AS plus, coalesce(minus, 0) AS minus FROM benchmark LEFT JOIN h USING (item_id))
+SELECT item_id, kind, CASE WHEN kind = 'addition' AND plus > 0 THEN 'kept' WHEN kind = 'removal' AND minus > 0 THEN 'kept' ELSE 'open' END AS state, plus, minus FROM i
 """)
 def promise_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of promises found inside texts of the side that proves them: additions or removals; others stay open."""
@@ -65,9 +65,8 @@ def noise_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(claimed, "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(20)
 
 
-@query("""
-WITH i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS id FROM benchmark), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS id FROM documents),
-s AS (SELECT item_id, doc_id, 2 * count(*) AS score FROM i JOIN w USING (id) GROUP BY ALL), p AS (SELECT * FROM s WHERE score >= 12)
+@query(f"""
+WITH {TERMS_SQL}, s AS (SELECT item_id, doc_id, 2 * count(*) AS score FROM t JOIN documents ON contains(text, term) GROUP BY ALL), p AS (SELECT * FROM s WHERE score >= 3)
 SELECT 'confirmed' AS state, count(*) AS n FROM p UNION ALL SELECT 'undocumented', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)
 UNION ALL SELECT 'unsupported', count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p)
 """)
@@ -95,7 +94,7 @@ def truncate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS shown FROM pages
+SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS shown FROM pages
 """)
 def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.table(spark, sf_dir, "pages").select("page_id", T.escaped(F.col("html")).alias("shown"))

@@ -1,77 +1,9 @@
-"""Queries whose registered SQL covers a part of the rows, against SQL over all of them."""
-
-import glob
-import os
-
-import duckdb
-import pytest
+"""Joins of whole texts on worked examples."""
 
 from noteproof import plans, registry
-from noteproof.functions.text import STOPWORDS
 from noteproof.operators import matching
 
 plans.load()
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for f in glob.glob(f"{SF}/*.parquet"):
-        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-    return con
-
-
-def same(spark, duck, name, sql):
-    df, want = registry.QUERIES[name](spark, SF), duck.sql(sql)
-    assert sorted(df.columns) == sorted(want.columns)
-    rows = lambda found: sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in found)
-    assert rows(df.select(*want.columns).collect()) == rows(want.fetchall())
-
-
-def test_escape_html(spark, duck):
-    same(spark, duck, "escape_html", """
-SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS shown FROM pages
-""")
-
-
-def test_anchor_join(spark, duck):
-    same(spark, duck, "anchor_join", "SELECT 'c' || event_id AS claim, o_orderkey::VARCHAR AS sha FROM events JOIN orders ON o_orderkey = event_id % 20000")
-
-
-def test_prefix_join(spark, duck):
-    same(spark, duck, "prefix_join", """
-WITH c AS (SELECT md5(o_orderkey::VARCHAR) AS sha FROM orders), k AS (SELECT o_orderkey AS claim, substr(md5(o_orderkey::VARCHAR), 1, 7 + (o_orderkey % 6)::INT) AS cited FROM orders)
-SELECT claim, sha FROM k JOIN c ON starts_with(sha, cited)
-""")
-
-
-def test_new_suppliers(spark, duck):
-    same(spark, duck, "new_suppliers", """
-WITH e AS (SELECT DISTINCT p_name AS name, s_nationkey AS root, year(l_shipdate) AS y FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
-k AS (SELECT * FROM e WHERE y < 1993)
-SELECT DISTINCT name, root FROM e WHERE y >= 1993 AND name NOT IN (SELECT name FROM k) AND root NOT IN (SELECT root FROM k WHERE root % 2 = 0)
-""")
-
-
-def test_bump_interval(spark, duck):
-    same(spark, duck, "bump_interval", """
-WITH pins AS (SELECT DISTINCT p_brand AS name, p_size % 7 AS a, p_size % 11 AS b FROM part WHERE a <> b), c AS (SELECT p_partkey AS claim, p_brand AS name, p_size % 9 AS said FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY CASE WHEN b = said THEN 0 ELSE 1 END, b DESC, a) AS k FROM c LEFT JOIN pins USING (name))
-SELECT claim, CASE WHEN b IS NULL THEN 'unmatched' WHEN b = said THEN 'confirmed' WHEN b > said AND a < said THEN 'overtaken' ELSE 'contradicted' END AS verdict, '2.' || a AS pin_from, '2.' || b AS pin_to FROM r WHERE k = 1
-""")
-
-
-STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
-TERMS = f"t AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.-]{{3,}}')) AS term FROM benchmark) WHERE NOT list_contains({STOP}, lower(term)))"
-
-
-def test_reconcile_findings(spark, duck):
-    same(spark, duck, "reconcile_findings", f"""
-WITH {TERMS}, s AS (SELECT item_id, doc_id, 2 * count(*) AS score FROM t JOIN documents ON contains(text, term) GROUP BY ALL), p AS (SELECT * FROM s WHERE score >= 3)
-SELECT 'confirmed' AS state, count(*) AS n FROM p UNION ALL SELECT 'undocumented', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p)
-UNION ALL SELECT 'unsupported', count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p)
-""")
 
 
 def test_confirmed_pairs_need_a_span_or_two_words(spark):
@@ -80,50 +12,8 @@ def test_confirmed_pairs_need_a_span_or_two_words(spark):
     assert {(r.f, r.c, r.score) for r in matching.confirmed_pairs(findings, claims, "f", "c").collect()} == {(1, 7, 3), (3, 8, 4)}
 
 
-def test_lexical_match(spark, duck):
-    same(spark, duck, "lexical_match", f"""
-WITH {TERMS}
-SELECT doc_id, item_id, sum(CASE WHEN regexp_matches(term, '_|^--|[a-z][A-Z]|^[A-Za-z0-9_-]+\\.[a-z]{{1,4}}$|^\\d+\\.\\d+\\.\\d+|[/$@#%:]|[A-Za-z]\\d|\\d[A-Za-z]|-.*-') THEN 2 ELSE 1 END)::BIGINT AS score, count(*) AS terms
-FROM documents JOIN t ON contains(text, term) GROUP BY doc_id, item_id HAVING score >= 2
-""")
-
-
-def test_promise_check(spark, duck):
-    same(spark, duck, "promise_check", f"""
-WITH {TERMS}, h AS (SELECT item_id, count(DISTINCT CASE WHEN lang = 'en' THEN term END) AS plus, count(DISTINCT CASE WHEN lang <> 'en' THEN term END) AS minus FROM t JOIN documents ON contains(text, term) GROUP BY item_id),
-i AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'removal' ELSE 'addition' END AS kind, coalesce(plus, 0) AS plus, coalesce(minus, 0) AS minus FROM benchmark LEFT JOIN h USING (item_id))
-SELECT item_id, kind, CASE WHEN kind = 'addition' AND plus > 0 THEN 'kept' WHEN kind = 'removal' AND minus > 0 THEN 'kept' ELSE 'open' END AS state, plus, minus FROM i
-""")
-
-
 def test_promises_without_a_hit_stay_open(spark, tmp_path):
     spark.createDataFrame([(1, "new_thing"), (2, "absent_one"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "a new_thing_here", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["promise_check"](spark, str(tmp_path)).collect()
     assert {r.item_id: (r.state, r.plus, r.minus) for r in got} == {1: ("kept", 1, 0), 2: ("open", 0, 0), 3: ("open", 0, 0)}
-
-
-def tokens(text):
-    return (
-        f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array({text}, '[^A-Za-z0-9_.-]+'), lambda w: w <> ''), "
-        f"lambda w: list_concat(list_filter([lower(w)], lambda x: length(x) >= 2 AND NOT list_contains({STOP}, x)), "
-        f"list_filter(list_transform(regexp_split_to_array(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda p: lower(p)), lambda x: length(x) >= 3 AND NOT list_contains({STOP}, x))))))"
-    )
-
-
-def test_hunk_rank_topk(spark, duck):
-    same(spark, duck, "hunk_rank_topk", f"""
-WITH c AS (SELECT item_id AS claim, unnest({tokens("text")}) AS token FROM benchmark), h AS (SELECT doc_id AS hunk, unnest({tokens("text")}) AS token FROM documents),
-n AS (SELECT count(DISTINCT hunk) AS total FROM h), d AS (SELECT token, count(*) AS df FROM h WHERE token IN (SELECT token FROM c) GROUP BY token),
-s AS (SELECT claim, hunk, round(sum(ln(1 + total::DOUBLE / df)), 6) AS score FROM c JOIN d USING (token) JOIN h USING (token), n GROUP BY claim, hunk)
-SELECT claim, hunk, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY score DESC, hunk) AS rank FROM s) WHERE rank <= 6
-""")
-
-
-def test_related_topk(spark, duck):
-    same(spark, duck, "related_topk", f"""
-WITH a AS (SELECT item_id AS a, unnest({tokens("text")}) AS token FROM benchmark), b AS (SELECT doc_id AS b, unnest({tokens("text")}) AS token FROM documents),
-na AS (SELECT a, count(*) AS na FROM a GROUP BY a), nb AS (SELECT b, count(*) AS nb FROM b GROUP BY b),
-s AS (SELECT a, b, count(*) AS n FROM a JOIN b USING (token) GROUP BY a, b), o AS (SELECT a, b, round(n::DOUBLE / least(na, nb), 6) AS overlap FROM s JOIN na USING (a) JOIN nb USING (b))
-SELECT a, b, overlap, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS rank FROM o WHERE overlap > 0.3) WHERE rank <= 3
-""")
