@@ -28,11 +28,15 @@ def contained_terms(texts: DataFrame, needles: DataFrame, text_key: str, needle_
 
     texts: text_key, text; needles: needle_key, term (made of [A-Za-z0-9_.-] only). A term of that
     class lies inside one maximal run of the class, so distinct runs meet distinct terms once, and
-    both sides come back by equality. Runs meet terms on the term's rarest part: equal 3-grams."""
+    both sides come back by equality. Runs meet a term on its rarest 3-gram, as counted over the distinct runs."""
     runs = texts.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.\\-]+"), 0))).alias("run"))
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    terms = needles.select("term").distinct().where(F.length("term") >= 3).withColumn("gram", F.substring("term", 1, 3))
     vocabulary = runs.select("run").distinct().where(F.length("run") >= 3)
+    wanted = needles.select("term").distinct().where(F.length("term") >= 3).select("term", F.explode(grams(F.col("term"))).alias("gram"))
+    held = vocabulary.select(F.explode(grams(F.col("run"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a term one of whose grams is in no run is in none
+    counted = wanted.join(held, "gram", "left").na.fill(0, ["n"])
+    terms = counted.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("m")).where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
     hits = (
         vocabulary.withColumn("gram", F.explode(grams(F.col("run")))).join(terms, "gram").where(F.col("run").contains(F.col("term"))).select("run", "term").distinct()
     )
@@ -100,11 +104,11 @@ def related(left: DataFrame, right: DataFrame, *, least: float = 0.3, top: int =
 def last_then_first_differing(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs of entries by name: of the old side the last entry, of the new side the first whose version differs.
 
-    Both sides: file, name, ord, version."""
+    Both sides: file, name, ord, version; entries of one ord go by version."""
     w = Window.partitionBy("file", "name")
-    old = before.withColumn("k", F.row_number().over(w.orderBy(F.desc("ord")))).where("k = 1").select("file", "name", F.col("version").alias("from"))
+    old = before.withColumn("k", F.row_number().over(w.orderBy(F.desc("ord"), F.desc("version")))).where("k = 1").select("file", "name", F.col("version").alias("from"))
     met = after.join(old, ["file", "name"]).where(F.col("version") != F.col("from"))
-    return met.withColumn("k", F.row_number().over(w.orderBy("ord"))).where("k = 1").select("file", "name", "from", F.col("version").alias("to"))
+    return met.withColumn("k", F.row_number().over(w.orderBy("ord", "version"))).where("k = 1").select("file", "name", "from", F.col("version").alias("to"))
 
 
 def carried_over(texts: DataFrame, earlier: DataFrame, least_words: int = 4) -> DataFrame:

@@ -11,7 +11,7 @@ GENERATED_WEIGHT = 0.25
 WITH_COMPLETENESS = (0.45, 0.25, 0.30)
 WITHOUT_COMPLETENESS = (0.6, 0.4)
 CRITICAL_PENALTY, WARN_PENALTY = 25, 10
-CONTRADICTED_CAP, CRITICAL_CAP = 35, 45
+CONTRADICTED_CAP, CRITICAL_CAP, UNVERIFIED_CAP = 35, 45, 65
 LABELS = ((85, "solid"), (65, "minor gaps"), (45, "questionable"))
 
 
@@ -30,36 +30,50 @@ def score_label(score: Column) -> Column:
     return out.otherwise("suspicious")
 
 
-def trust_scores(claims: DataFrame, files: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+def trust_scores(claims: DataFrame, files: DataFrame, flags: DataFrame, key: str, unverifiable: DataFrame | None = None) -> DataFrame:
     """correctness, completeness (null if any diff is unreadable), risk, overall, label per release.
 
-    claims: key, verdict, generated; files: key, churn, covered, readable; flags: key, severity."""
-    weight = F.when(F.col("generated"), GENERATED_WEIGHT).otherwise(1.0)
-    right = claims.groupBy(key).agg(
+    claims: key, verdict, generated and optionally kind; files: key, churn, covered, readable and
+    optionally merge; flags: key, severity; unverifiable: key. Only claims of a change that were not
+    skipped weigh; where a release is unverifiable, those without evidence drop out, and if any did, the
+    score is capped and reads as unverified. Churn of merge commits counts nowhere."""
+    counted = F.col("verdict") != "skipped"
+    if "kind" in claims.columns:
+        counted = counted & (F.col("kind") == "change")
+    shaped = claims.withColumn("excused", F.lit(False))
+    if unverifiable is not None:
+        shaped = claims.join(unverifiable.select(key).distinct().withColumn("excused", F.lit(True)), key, "left").na.fill(False, ["excused"])
+    dropped = counted & F.col("excused") & (F.col("verdict") == "no-evidence")
+    weight = F.when(counted & ~dropped, F.when(F.col("generated"), GENERATED_WEIGHT).otherwise(1.0)).otherwise(0.0)
+    right = shaped.groupBy(key).agg(
         F.sum(weight * verdict_value()).alias("points"),
         F.sum(weight).alias("weight"),
         F.max((F.col("verdict") == "contradicted").cast("int")).alias("contradicted"),
+        F.count_if(dropped).alias("dropped"),
     )
+    if "merge" in files.columns:
+        files = files.where(~F.coalesce("merge", F.lit(False)))
     cover = files.groupBy(key).agg(
         F.sum("churn").alias("churn"),
         F.sum(F.when(F.col("covered"), F.col("churn")).otherwise(0)).alias("covered"),
         F.min(F.col("readable").cast("int")).alias("readable"),
     )
     flagged = flags.groupBy(key).agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warn").alias("warn"))
-    joined = cover.join(right, key, "full").join(flagged, key, "left").na.fill(0, ["critical", "warn"])
+    joined = cover.join(right, key, "full").join(flagged, key, "left").na.fill(0, ["critical", "warn", "dropped"])
     correctness = F.when(F.col("weight") > 0, F.round(100 * F.col("points") / F.col("weight"))).otherwise(100.0)
     completeness = F.when(F.col("readable") == 1, F.when(F.col("churn") > 0, F.round(100 * F.col("covered") / F.col("churn"))).otherwise(100.0))
     risk = F.greatest(F.lit(0.0), 100.0 - CRITICAL_PENALTY * F.col("critical") - WARN_PENALTY * F.col("warn"))
-    parts = joined.select(key, "contradicted", "critical", correctness.alias("correctness"), completeness.alias("completeness"), risk.alias("risk"))
+    parts = joined.select(key, "contradicted", "critical", "dropped", correctness.alias("correctness"), completeness.alias("completeness"), risk.alias("risk"))
     a, b, c = WITH_COMPLETENESS
     d, e = WITHOUT_COMPLETENESS
     blend = F.when(F.col("completeness").isNull(), F.round(d * F.col("correctness") + e * F.col("risk"))).otherwise(
         F.round(a * F.col("correctness") + b * F.col("completeness") + c * F.col("risk"))
     )
     capped = F.when(F.col("contradicted") == 1, F.least(blend, F.lit(CONTRADICTED_CAP))).when(F.col("critical") > 0, F.least(blend, F.lit(CRITICAL_CAP))).otherwise(blend)
-    return parts.withColumn("overall", capped).select(
-        key, *[F.col(x).cast("long").alias(x) for x in ("correctness", "completeness", "risk", "overall")], score_label(F.col("overall")).alias("label")
-    )
+    hidden = F.col("dropped") > 0
+    parts = parts.withColumn("overall", F.when(hidden, F.least(capped, F.lit(UNVERIFIED_CAP))).otherwise(capped))
+    label = F.when(hidden, "unverified").otherwise(score_label(F.col("overall")))
+    return parts.select(key, *[F.col(x).cast("long").alias(x) for x in ("correctness", "completeness", "risk", "overall")], label.alias("label"))
 
 
 def waterfall(scores: DataFrame, key: str) -> DataFrame:

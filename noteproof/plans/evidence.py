@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import matching, pins, surface
 from ..registry import query
 from .scores import _COMMITS_SQL, _FILES_SQL
-from .sql import TERMS_SQL, tokens_sql
+from .sql import SHAPES, SHAPES_SQL, TERMS_SQL, sensitive_sql, tokens_sql
 
 
 @query("""
@@ -93,20 +93,14 @@ def uncovered_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(churn, "sha").select("sha", "author", "churn")
 
 
-_SENSITIVE = "CASE WHEN regexp_matches(lower(path), 'auth|crypt|passw|token|secret|session|login|oauth|jwt|permission|cert|sign(ature|ing)') THEN 'auth/crypto' ELSE 'none' END"
-
-
 @query(f"""
-WITH {_FILES_SQL}, {_COMMITS_SQL}, k AS (SELECT sha, bool_or(discount > 0.08) AS noted FROM files GROUP BY sha)
-SELECT repo, category, count(*) AS files, count(DISTINCT sha) AS commits FROM (
-  SELECT repo, sha, CASE part % 4 WHEN 0 THEN 'dependencies' WHEN 1 THEN 'ci/build' WHEN 2 THEN 'auth/crypto' ELSE NULL END AS category
-  FROM files JOIN commits USING (sha) JOIN k USING (sha) WHERE NOT noted) WHERE category IS NOT NULL GROUP BY repo, category
+WITH {_FILES_SQL}, {_COMMITS_SQL}, k AS (SELECT sha, bool_or(discount > 0.08) AS noted FROM files GROUP BY sha), p AS (SELECT repo, sha, ({SHAPES_SQL})[1 + part % {len(SHAPES)}] AS path FROM files JOIN commits USING (sha) JOIN k USING (sha) WHERE NOT noted)
+SELECT repo, category, count(*) AS files, count(DISTINCT sha) AS commits FROM (SELECT repo, sha, {sensitive_sql("path")} AS category FROM p) WHERE category IS NOT NULL GROUP BY repo, category
 """)
 def sensitive_undocumented(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, commits = adapt.changed_files(spark, sf_dir), adapt.commits(spark, sf_dir).select("sha", "repo")
-    shapes = F.array(*[F.lit(x) for x in ("go.sum", ".github/workflows/x.yml", "src/oauth_login.rs", "docs/auth.md")])
     noted = files.groupBy("sha").agg(F.bool_or(F.col("discount") > 0.08).alias("noted")).where("not noted").select("sha")
-    kind = T.sensitive_category(F.get(shapes, (F.col("part") % 4).cast("int")))
+    kind = T.sensitive_category(F.get(F.array(*[F.lit(x) for x in SHAPES]), (F.col("part") % len(SHAPES)).cast("int")))
     rows = files.join(noted, "sha").join(commits, "sha").select("repo", "sha", kind.alias("category")).where("category is not null")
     return rows.groupBy("repo", "category").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("sha").alias("commits"))
 
@@ -124,8 +118,8 @@ def carried_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT l_suppkey % 100 AS file, l_partkey % 50 AS name, l_orderkey * 10 + l_linenumber AS ord, '1.' || (l_quantity::BIGINT % 9) AS version, l_returnflag = 'R' AS old FROM lineitem),
-o AS (SELECT file, name, arg_max(version, ord) AS "from" FROM e WHERE old GROUP BY file, name),
-n AS (SELECT file, name, "from", arg_min(version, ord) AS "to" FROM e JOIN o USING (file, name) WHERE NOT old AND version <> "from" GROUP BY ALL)
+o AS (SELECT file, name, arg_max(version, row(ord, version)) AS "from" FROM e WHERE old GROUP BY file, name),
+n AS (SELECT file, name, "from", arg_min(version, row(ord, version)) AS "to" FROM e JOIN o USING (file, name) WHERE NOT old AND version <> "from" GROUP BY ALL)
 SELECT * FROM n
 """)
 def pin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

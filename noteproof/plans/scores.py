@@ -9,6 +9,7 @@ from .. import adapt
 from ..functions import text as T
 from ..operators import scoring
 from ..registry import query
+from .sql import SHAPES, SHAPES_SQL, category_sql
 
 
 
@@ -112,17 +113,15 @@ def release_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
-
-@query("""
-SELECT category, count(*) AS files, sum(n_chars)::BIGINT AS size, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share
-FROM (SELECT n_chars, CASE WHEN k < 2 THEN 'docs' WHEN k < 4 THEN 'dependencies' WHEN k < 6 THEN 'tests' WHEN k < 8 THEN 'config' ELSE 'source' END AS category
-      FROM (SELECT n_chars, doc_id % 10 AS k FROM documents)) GROUP BY category
+@query(f"""
+SELECT category, count(*) AS files, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share
+FROM (SELECT additions, deletions, {category_sql("path")} AS category FROM (SELECT l_quantity::BIGINT AS additions, l_linenumber::BIGINT AS deletions, ({SHAPES_SQL})[1 + l_partkey % {len(SHAPES)}] AS path FROM lineitem)) GROUP BY category
 """)
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    endings = F.array(*[F.lit(x) for x in ("a/readme.md", "docs/x.html", "go.mod", "web/package.json", "tests/a.py", "src/b_test.go", "c/d.yaml", "e.toml", "src/f.rs", "lib/g.c")])
-    rows = adapt.table(spark, sf_dir, "documents").select("n_chars", F.get(endings, (F.col("doc_id") % 10).cast("int")).alias("path"))
-    grouped = rows.groupBy(T.file_category(F.col("path")).alias("category")).agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("size"))
+    """Files, additions and deletions of each kind of file."""
+    path = F.get(F.array(*[F.lit(x) for x in SHAPES]), (F.col("part") % len(SHAPES)).cast("int"))
+    rows = adapt.changed_files(spark, sf_dir).select("additions", "deletions", T.file_category(path).alias("category"))
+    grouped = rows.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
     total = grouped.agg(F.sum("files").alias("t")).scalar()
     return grouped.withColumn("share", F.round(100.0 * F.col("files") / total, 2))
 
