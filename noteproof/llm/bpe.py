@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokens import RunTable, byte_symbols
+from .tokens import RunTable, byte_symbols, vocabulary_file
 
 _NO_RANK = 1 << 62
 NO_RANK_32 = np.int32((1 << 31) - 1)
@@ -179,7 +179,7 @@ class WordBpe(RunTable):
     """Encoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(vocabulary_file(path), encoding="utf-8") as f:
             spec = json.load(f)
         super().__init__(spec)
         model = spec["model"]
@@ -244,7 +244,7 @@ class TokenNames:
     """Decoder: token strings joined by a space, as the vocabulary names no decoder."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(vocabulary_file(path), encoding="utf-8") as f:
             spec = json.load(f)
         names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = bpe.encode_batch(batch.column(1).to_pylist())
+            ids = bpe.encode_batch(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],

@@ -18,13 +18,14 @@ WS_CLASS = "[ \\t-\\r]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package when it is used from a source tree."""
+    """Let Python workers find this package when it is used from a source tree, and bound their batches by rows and bytes."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
     # batches of whole texts stay small beside an executor's Python memory
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only if unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a temporary one in local mode (tests) and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.noteproof.tempCheckpointDir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="noteproof-")
             spark.conf.set("spark.noteproof.tempCheckpointDir", root)
     return root.rstrip("/")
@@ -69,3 +72,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Keys with more than one in so many of all rows are joined by broadcast: there are fewer than this.
+HEAVY = 1_000
+
+
+def left_join_heavy(rows: DataFrame, table: DataFrame, on: list[str], share: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``table`` (one row per key, ``share`` of ``total`` rows each).
+
+    Keys that hold a large part of all rows are joined by broadcast, whose size ``HEAVY`` bounds, so that none meets in one task."""
+    heavy = F.broadcast(table.where(F.col(share) * HEAVY > total))
+    return rows.join(heavy, on).unionByName(rows.join(heavy, on, "left_anti").join(table, on, "left"))

@@ -15,7 +15,8 @@ Tables are written by Spark's own writer into a folder that the caller names, so
 cost only their tasks and any store that Spark writes to will do.
 
 Defined results: null text is empty and holds the end id alone; repeated rows are each written;
-null doc_ids sort first; empty input writes no blocks and reads back empty.
+null doc_ids sort first; texts may have any length; columns other than doc_id and text are not
+read, whatever their names; empty input writes no blocks and reads back empty.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ class Decoder:
 
 def id_type(path: str, end_id: int) -> str:
     """Two bytes an id where the vocabulary allows, else four."""
-    with open(path, encoding="utf-8") as f:
+    with open(tokens.vocabulary_file(path), encoding="utf-8") as f:
         spec = json.load(f)
     largest = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
     return "<u2" if largest < 1 << 16 else "<u4"
@@ -136,10 +137,10 @@ def encoded_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, ids: ids of the whole text and the end id, as little-endian unsigned integers of ``id_type``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, kind = tokens.library(path), np.array([end_id], "<u4").tobytes(), id_type(path, end_id)
+        enc, kind = tokens.library(path), id_type(path, end_id)
         for batch in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in enc.encode_batch(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids, ends = tokens.with_end(*enc.encode_column(batch.column(1)), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), tokens.as_binary(ids.astype(kind), ends)], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -164,7 +165,7 @@ def count_ids(encoded: DataFrame, end_id: int, kind: str) -> np.ndarray:
     return counts
 
 
-_BLOCKS = "file long, block long, doc_ids array<long>, doc_tokens array<long>, starts array<long>, payload binary, checkpoints array<int>"
+_BLOCKS = "file long, block long, doc_ids array<long>, doc_tokens array<long>, starts array<long>, payload binary, checkpoints array<long>"
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, max_bits: int = MAX_BITS) -> None:
@@ -190,8 +191,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int, m
             ids = np.frombuffer(b"".join(x for _, x in held), kind)
             payload, at = pack_bits(ids, codes, lengths)
             starts = start + np.cumsum(sizes) - sizes
-            columns = [[file], [block], [[d for d, _ in held]], [sizes], [starts], [payload], [at[::LANE].astype(np.int32)]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
+            columns = [[file], [block], [[d for d, _ in held]], [sizes], [starts], [payload], [at[::LANE]]]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             block, start = block + 1, start + len(ids)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
