@@ -1,42 +1,63 @@
-"""Connected components without gathering links: alternating large-star and small-star steps."""
+"""Connected components without gathering links: hooking to the least neighbour, contraction."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 
+#: Places that the links of one vertex are spread over when they look up where it went.
+SALTS = 16
+
+
+def _rank(column: str) -> F.Column:
+    """An order of the vertices that has nothing to do with their ids, so that chains contract fast."""
+    return F.struct(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
+
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """u, v, m: pairs with the least neighbour of u, u itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _moved(rows: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by its target in ``hooks`` (u, p); a frequent value is split by salt."""
+    others = [c for c in rows.columns if c != column]
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    copies = hooks.select(F.col("u").alias(column), F.col("p").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(copies, [column, "salt"]).select(*[F.col("to").alias(c) if c == column else c for c in rows.columns])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable over ``edges`` (a, b), for every id that has an edge.
 
-    Every step is written to the shared folder, so neither lineage nor driver memory grows.
+    Each round every vertex hooks to its least neighbour, in a random order, and on to where that one
+    hooks; links inside a tree vanish, the others run between trees and are kept once. Rounds are written to the
+    shared folder, so neither lineage nor driver memory grows, and shrink geometrically.
     Self-links, repeated and reversed links are allowed; rows with a null end are ignored; no
     edges give no rows.
     """
     spark = edges.sparkSession
-    clean = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = materialize(spark, clean, "edges"), None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # each u holds its smaller neighbours only
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        hooked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = materialize(spark, hooked.where("u <> v").distinct(), "edges")
-        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        drop_materialized(spark, now)
-        now = after
-        if state == seen:
-            break
-        seen = state
-    roots = now.select(F.col("v").alias("id")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    links = materialize(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min(_rank("v")).alias("m"))
+        hooks = least.select("u", F.least("m", _rank("u"))["v"].alias("p"))
+        jumped = materialize(spark, _moved(hooks, "p", hooks), "hooks")
+        after = _moved(_moved(links, "a", jumped), "b", jumped).where("a <> b")
+        after = materialize(spark, after.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        drop_materialized(spark, links)
+        links = after
+        rounds.append(jumped)
+    drop_materialized(spark, links)
+    if not rounds:
+        return spark.createDataFrame([], "id long, component long")
+
+    def through(placed: DataFrame, hooks: DataFrame) -> DataFrame:
+        later = hooks.select(F.col("u").alias("at"), "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        return salted.join(later, ["at", "salt"], "left").select("id", F.coalesce("p", "at").alias("at"))
+
+    placed = materialize(spark, reduce(through, rounds[1:], rounds[0].select(F.col("u").alias("id"), F.col("p").alias("at"))), "placed")
+    drop_materialized(spark, *rounds)
+    least = placed.groupBy("at").agg(F.min("id").alias("p")).select(F.col("at").alias("u"), "p")
+    return _moved(placed, "at", least).select("id", F.col("at").alias("component"))
