@@ -1,25 +1,30 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes its text nodes, each with its root-to-leaf tag path. Per path, text length and
-punctuation are summed over the path's nodes and divided by their number; both ratios are smoothed
-over neighbouring nodes in page order and fused by multiplication. Nodes above a share of the mean
-are seeds, and the deepest element path that holds most of the seeds' text is the content root.
-Every block under it is taken except what its element says is none: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers.
+A page becomes its blocks of text, each with its root-to-leaf tag path. Per path, the length of its
+text outside links and its punctuation are summed and divided by the number of its blocks. Both
+ratios are smoothed over neighbouring blocks in page order, averaged again per path and fused by
+multiplication, with what the path's names say as a factor: ``ARTICLE`` inside an article or main
+element, ``NAMED`` inside an element that is named as a menu, header, footer, sidebar, notice,
+advert or comments. Paths at ``SHARE`` of the best path or above are content, wherever their names
+leave that possible; so is the flow content (headings, lists, quotes, tables) beside a content
+path in its container, unless it is links alone.
+
+Only what is never text goes by its element: scripts, styles, the head, forms and their controls,
+drawings, embedded objects, hidden elements and markup comments.
 
 Blocks are runs of text between block-level tags; character references are decoded, white space
 becomes one space, blocks are joined by a newline.
 
-Defined results: null or empty html and pages without text give an empty string; unclosed and
-stray tags, comments and scripts are taken as browsers do; repeated rows are extracted alike; an
-empty table gives an empty result; other columns are returned untouched.
+Defined results: null or empty html and pages without content give an empty string; pages may have
+any length; unclosed and stray tags, comments and scripts are taken as browsers do; repeated rows
+are extracted alike; an empty table gives an empty result; other columns, whatever their names but
+text and n_chars, are returned untouched.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,62 +32,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMOOTHING = (0.25, 0.5, 0.25)
-SEED_SHARE = 0.5
-ROOT_SHARE = 0.7
+SMOOTHING = (0.1, 0.8, 0.1)
+#: Share of the best path's score that makes a path content.
+SHARE = 0.08
+#: Least score of content, about that of one character of plain text.
+FLOOR = 0.5
+#: Factors of the score by what a path is named.
+ARTICLE, NAMED = 10.0, 1e-4
 
 # Tags and attribute words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-RAW = "script|style|textarea|title|noscript|template|svg|iframe|select|button|object|math|canvas"
-NEVER = frozenset("head nav aside form footer dialog menu".split())
+RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
+NEVER_TEXT = frozenset("head form button select noscript template svg canvas object datalist".split())
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEEPS_ATTRIBUTES = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+BOILERPLATE_TAGS = frozenset("nav aside footer dialog menu".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead comment comments respond disqus share sharing social "
     "related recommended newsletter subscribe signup login search form toolbar pagination pager widget widgets skip contentinfo complementary dialog".split()
 )
+NEGATIONS = frozenset("no non not free without has with less".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:--!?>|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¿¡]")
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
-    if not attributes.strip() or tag in KEEPS_ATTRIBUTES:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w in BOILERPLATE for m in _NAMES.finditer(attributes) for w in _WORDS.findall("".join(x or "" for x in m.groups()).lower()))
+def read_attributes(text: str) -> dict[str, str]:
+    """Values by lower-cased name, the first of each."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), a or b or c)
+    return found
 
 
-def text_nodes(page: str) -> list[tuple[int, tuple[str, ...], bool, str]]:
-    """(block, path, boilerplate, raw text) of each text node in page order."""
-    out: list[tuple[int, tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []
+def is_named_boilerplate(tag: str, named: list[str]) -> bool:
+    """Whether an element's tag or its class, id and role tokens call it something other than content."""
+    if tag in BOILERPLATE_TAGS:
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    for token in named:
+        if token in BOILERPLATE:
+            return True
+        if tag != "article":  # an article's classes also list its categories
+            parts = set(re.split(r"[^a-z]+", token))
+            if parts & BOILERPLATE and not parts & NEGATIONS:
+                return True
+    return False
+
+
+class Element:
+    """An open element: tag, label in paths, and whether it is never text, named boilerplate, an article, a link."""
+
+    __slots__ = ("article", "label", "link", "named", "never", "path", "tag")
+
+    def __init__(self, tag: str, attributes: str, above: Element | None):
+        held = read_attributes(attributes) if attributes.strip(" \t\r\n/") else {}
+        tokens = [t for k in ("class", "id", "role") for t in held.get(k, "").lower().split()]
+        hidden = "hidden" in held or held.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", held.get("style", ""), re.I)
+        inside = bool(above and above.article)
+        self.tag = tag
+        self.never = bool(above and above.never) or tag in NEVER_TEXT or bool(hidden)
+        self.named = bool(above and above.named) or (tag == "header" and not inside) or is_named_boilerplate(tag, tokens)
+        self.article = inside or tag in ("article", "main")
+        self.link = tag == "a" or bool(above and above.link)
+        # flow and inline elements go by their tag alone, containers by their names too
+        self.label = tag if not tokens or tag in FLOW or tag in INLINE else f"{tag}.{'.'.join(tokens)}"
+        self.path = (*above.path, self.label) if above else (self.label,)
+
+
+def text_nodes(page: str) -> list[tuple[int, Element | None, str]]:
+    """(block, innermost element, raw text) of each text node in page order."""
+    out: list[tuple[int, Element | None, str]] = []
+    stack: list[Element] = []
     block = at = 0
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            out.append((block, tuple(s[1] for s in stack), any(s[2] for s in stack), text))
+            out.append((block, stack[-1] if stack else None, text))
         elif text and out and out[-1][0] == block:
-            out.append((block, out[-1][1], out[-1][2], " "))
+            out.append((block, out[-1][1], " "))
 
-    def close(k: int) -> None:
-        del stack[k:]
+    def last(tags: set[str] | frozenset[str]) -> int | None:
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag in tags), None)
 
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -95,89 +138,96 @@ def text_nodes(page: str) -> list[tuple[int, tuple[str, ...], bool, str]]:
             block += 1
         if tag == "br":
             if out and out[-1][0] == block:
-                out.append((block, out[-1][1], out[-1][2], " "))
+                out.append((block, out[-1][1], " "))
         elif slash:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                close(k)
+            if (k := last({tag})) is not None:
+                del stack[k:]
         elif tag not in VOID:
             if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if k is not None and all(s[0] in INLINE for s in stack[k + 1 :]):
-                    close(k)
+                # a button left open ends where a block begins
+                for ends in ("p", "button"):
+                    k = last({ends})
+                    if k is not None and all(e.tag in INLINE for e in stack[k + 1 :]):
+                        del stack[k:]
             elif tag in SIBLINGS:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in SIBLINGS[tag]), None)
-                if k is not None and not any(s[0] in ("ul", "ol", "dl", "table", "select") for s in stack[k + 1 :]):
-                    close(k)
-            if tag == "body":
-                stack[:] = [s for s in stack if s[0] == "html"]
-            names = " ".join("".join(x or "" for x in n.groups()) for n in _NAMES.finditer(attributes)) if attributes and tag not in INLINE else ""
-            bad = _is_boilerplate(tag, attributes) or (tag == "header" and not any(s[0] in ("article", "main") for s in stack))
+                k = last(SIBLINGS[tag])
+                if k is not None and not any(e.tag in ("ul", "ol", "dl", "table", "select") for e in stack[k + 1 :]):
+                    del stack[k:]
+            elif tag == "body":
+                stack[:] = [e for e in stack if e.tag == "html"]
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, f"{tag}.{names}" if names else tag, bad))
+                stack.append(Element(tag, attributes, stack[-1] if stack else None))
     add(page[at:])
     return out
 
 
-def path_scores(paths: list[tuple[str, ...]], lengths: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Fused, smoothed ratio of each node."""
-    held: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for p, n, m in zip(paths, lengths.tolist(), marks.tolist(), strict=True):
-        h = held[p]
-        h[0] += n
-        h[1] += m
-        h[2] += 1
-    text, punctuation = (np.array([held[p][k] / held[p][2] for p in paths]) for k in (0, 1))
-    return _smooth(text) * _smooth(1 + punctuation)
-
-
 def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, "edge"), SMOOTHING, "valid")
 
 
-def _blocks_path(path: tuple[str, ...]) -> tuple[str, ...]:
-    """Without the inline end of a path."""
+def path_scores(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Fused score of each path. Per block in page order: path number, text outside links, punctuation there; per path: factor."""
+    blocks = np.bincount(paths, minlength=len(factors))
+
+    def ratio(x: np.ndarray) -> np.ndarray:
+        return _smooth((np.bincount(paths, x, len(factors)) / blocks)[paths])
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        return np.bincount(paths, x, len(factors)) / blocks
+
+    own = np.bincount(paths, lengths, len(factors)) > 0  # links alone score nothing
+    return own * mean(ratio(lengths)) * (1 + mean(ratio(marks))) * factors
+
+
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path without the flow elements at its end."""
     k = len(path)
-    while k and path[k - 1] in INLINE:
+    while k and path[k - 1] in FLOW:
         k -= 1
     return path[:k]
 
 
-def content_root(paths: list[tuple[str, ...]], lengths: np.ndarray, scores: np.ndarray) -> tuple[str, ...]:
-    """The deepest element path with most of the seeds' text, above single blocks."""
-    seeds = np.flatnonzero(scores >= SEED_SHARE * scores.mean())
-    mass: dict[tuple[str, ...], int] = defaultdict(int)
-    total = 0
-    for k in seeds.tolist():
-        parent = _blocks_path(paths[k])[:-1]
-        total += int(lengths[k])
-        for depth in range(len(parent) + 1):
-            mass[parent[:depth]] += int(lengths[k])
-    deep = max((p for p, n in mass.items() if n >= ROOT_SHARE * total), key=len, default=())
-    for depth, label in enumerate(deep):  # a whole article or main, not a part of it
-        if label.split(".")[0] in ("article", "main"):
-            return deep[: depth + 1]
-    return deep
+def content_paths(paths: list[tuple[str, ...]], scores: np.ndarray, named: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Which paths are content; ``named``: in an element named as boilerplate, ``linked``: links alone."""
+    chosen = scores >= max(FLOOR, SHARE * scores.max(initial=0.0))
+    held = {(container(p), n) for p, n, c in zip(paths, named.tolist(), chosen.tolist(), strict=True) if c}
+    beside = np.array([(container(p), n) in held and not only for p, n, only in zip(paths, named.tolist(), linked.tolist(), strict=True)], bool)
+    return chosen | beside
 
 
 def main_text(page: str) -> str:
-    nodes = [n for n in text_nodes(page) if not n[2]]
-    if not nodes:
-        return ""
-    texts = [entities.unescape(n[3]) if "&" in n[3] else n[3] for n in nodes]
-    real = [k for k, t in enumerate(texts) if not t.isspace()]
-    if not real:
+    blocks: dict[int, tuple[list[str], Element | None, list[int]]] = {}
+    for block, element, raw in text_nodes(page):
+        if element is not None and element.never:
+            continue
+        text = entities.unescape(raw) if "&" in raw else raw
+        parts, _, counts = blocks.setdefault(block, ([], element, [0, 0]))
+        parts.append(text)
+        if element is None or not element.link:
+            counts[0] += len(text.strip())
+            counts[1] += len(_PUNCTUATION.findall(text))
+    texts, found = [], []
+    for parts, element, counts in blocks.values():
+        text = " ".join("".join(parts).split())
+        if text:
+            texts.append(text)
+            found.append((element, *counts))
+    if not texts:
         return ""
-    paths = [_blocks_path(nodes[k][1]) for k in real]
-    lengths = np.array([len(texts[k]) for k in real])
-    marks = np.array([len(_PUNCTUATION.findall(texts[k])) for k in real])
-    root = content_root(paths, lengths, path_scores(paths, lengths, marks))
-    blocks: dict[int, list[str]] = {}
-    for (block, path, _, _), text in zip(nodes, texts, strict=True):
-        if path[: len(root)] == root:
-            blocks.setdefault(block, []).append(text)
-    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(t for t in joined if t)
+    number: dict[tuple, int] = {}
+    which = []
+    for element, _, _ in found:
+        path = element.path if element else ()
+        k = len(path)
+        while k and path[k - 1] in INLINE:
+            k -= 1
+        which.append(number.setdefault((path[:k], bool(element and element.named), bool(element and element.article)), len(number)))
+    which, lengths, marks = np.array(which), np.array([f[1] for f in found], float), np.array([f[2] for f in found], float)
+    factors = np.array([(NAMED if named else 1.0) * (ARTICLE if article else 1.0) for _, named, article in number])
+    scores = path_scores(which, lengths, marks, factors)
+    linked = np.bincount(which, lengths, len(number)) == 0
+    chosen = content_paths([p for p, _, _ in number], scores, np.array([n for _, n, _ in number]), linked)
+    return "\n".join(t for t, k in zip(texts, which.tolist(), strict=True) if chosen[k])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
