@@ -1,23 +1,25 @@
 """Language-model scoring by subword lattices.
 
 The model is a unigram model over an existing vocabulary's pieces (byte-level, with a word-end
-mark). Piece scores are smoothed log frequencies over the distinct words of the training texts,
-counted through the vocabulary's own merges. A word's lattice holds every segmentation into
-pieces, and for a word seen in training one more edge from its start to its end, weighted by its
-frequency; its probability is the sum over all paths, by a forward recursion in log space. Pieces
-share the escape mass ``V / (N + V)``, as many distinct words as tokens have shown to be new. A
-text's probability is the product over its words and the end.
+mark). Pieces are first weighed by how often the vocabulary's own merges use them in the words of
+the training texts, then by their expected uses over all segmentations of those words
+(forward and backward sums), ``ROUNDS`` times; each round counts every occurrence of every training word. A
+word's probability is the sum over all its segmentations, by a forward recursion in log space. A
+text's probability is the product over its words and the end: after each word the text goes on
+or ends, with the share of ends among the training tokens.
 
 Texts are read once, into chunks with their own word lists. Each distinct word of the corpus is
 then counted and scored once, and the results return to the chunks by word, so that no row per
-running word is ever shuffled.
+running word is ever shuffled. Words that most chunks hold are in a bounded table that is
+broadcast, the others are joined.
 
 A text is held out of training when crc32 of its doc_id's decimal text, modulo ``fold``, is 0.
 Words are runs of bytes other than space and 0x09-0x0D after A-Z became a-z.
 
-Defined results: null and empty texts are the end alone; a null doc_id counts as the empty string
-for the fold; repeated rows are counted and scored each; with no training texts every count is 0
-and N is 0, and the smoothed probabilities alone score; an empty table gives an empty result.
+Defined results: null and empty texts are the end alone; texts may have any length; a null doc_id
+counts as the empty string for the fold; repeated rows are counted and scored each; with no
+training texts every count is 0 and N is 0, all pieces weigh alike and an end is as likely as not;
+columns other than doc_id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import json
 import secrets
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,13 +39,17 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import materialize, text_or_empty
 from .shingles import mixed
-from .tokens import byte_symbols
+from .tokens import byte_symbols, vocabulary_file
 
 FOLD = 10
 #: Bytes of text in one chunk, about.
 CHUNK_BYTES = 8_000_000
 #: Pseudo-count of a piece.
 PIECE_PRIOR = 0.01
+#: Rounds of expected counts, and the fraction of a use that they are counted in.
+ROUNDS, UNIT = 2, 1024
+#: Words whose scores are broadcast: those that most chunks hold.
+COMMON = 20_000
 #: Words scored together.
 WORD_BATCH = 40_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,83 +103,112 @@ def _padded(words: list[bytes], length: int) -> np.ndarray:
     return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
 
 
-def count_pieces(words: DataFrame, path: str) -> np.ndarray:
-    """Occurrences of each piece over the distinct training words."""
+def _per_piece(words: DataFrame, path: str, count: Callable[[list[bytes], np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums of ``count`` per piece over the distinct training words and their counts; one row per piece and task is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = bpe.load(path)
         total = np.zeros(vocabulary_size(path))
-        for listed, _ in _gathered(batches):
-            ids, _ = vocabulary.merge_bytes(listed)
-            total += np.bincount(ids, minlength=len(total))
+        for listed, rows in _gathered(batches):
+            total += count(listed, rows["c"].to_numpy())
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].astype(np.int64))], ["piece", "n"])
+        # whole numbers, so that the order of the sum is of no account
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.rint(total[used] * UNIT).astype(np.int64))], ["piece", "n"])
 
     rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(vocabulary_size(path), np.int64)
+    counts = np.zeros(vocabulary_size(path))
     for r in rows:  # one row per piece
-        counts[r.piece] = r.n
+        counts[r.piece] = r.n / UNIT
     return counts
 
 
+def fit_pieces(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log weight of each piece; words: word, c (occurrences in training texts)."""
+
+    def merged(listed: list[bytes], c: np.ndarray) -> np.ndarray:
+        ids, sizes = bpe.load(path).merge_bytes(listed)
+        return np.bincount(ids, np.repeat(c, sizes), vocabulary_size(path))
+
+    def logs_of(counts: np.ndarray) -> np.ndarray:
+        logs, pieces = np.full(len(counts), -np.inf), load_lattice(path).pieces
+        logs[pieces] = np.log((counts[pieces] + PIECE_PRIOR) / (counts[pieces].sum() + PIECE_PRIOR * len(pieces)))
+        return logs
+
+    logs = logs_of(_per_piece(words, path, merged))
+    for _ in range(rounds):
+        logs = logs_of(_per_piece(words, path, lambda listed, c, held=logs: load_lattice(path).expected_counts(listed, held, c)))
+    return logs
+
+
 @lru_cache(maxsize=2)
 def vocabulary_size(path: str) -> int:
-    with open(path, encoding="utf-8") as f:
+    with open(vocabulary_file(path), encoding="utf-8") as f:
         return max(json.load(f)["model"]["vocab"].values()) + 1
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    listed: list[bytes] = []
-    counts: list[int] = []
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Table]]:
+    """Words (the first column) and whole rows, about ``WORD_BATCH`` at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> tuple[list[bytes], pa.Table]:
+        table = pa.Table.from_batches(held)
+        return table.column(0).cast(pa.binary()).to_pylist(), table
+
     for batch in batches:
-        listed += [w.encode("utf-8") for w in batch.column(0).to_pylist()]
-        counts += batch.column(1).to_pylist()
-        if len(listed) >= WORD_BATCH:
-            yield listed, np.array(counts, np.int64)
-            listed, counts = [], []
-    if listed:
-        yield listed, np.array(counts, np.int64)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= WORD_BATCH:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 class PieceTable:
-    """Substring hash to log probability, for pieces inside a word or at its end."""
+    """Substring hash to piece number (-1: none), for pieces inside a word or at its end.
+
+    One probe of a large table, and one of a small table of the pieces that found their slot taken."""
+
+    BITS, MORE = 22, 12
 
-    def __init__(self, pieces: list[bytes], logs: np.ndarray):
+    def __init__(self, pieces: list[bytes], numbers: list[int]):
         keys = np.zeros(len(pieces), np.uint64)
         for k, p in enumerate(pieces):
             h = 0
             for b in p:
                 h = (h * int(_BASE) + b + 1) & ((1 << 64) - 1)
             keys[k] = h
-        self.bits = 20
-        self.keys, self.logs = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -np.inf)
-        self.probes, slot, left = 0, self._slot(keys), np.arange(len(keys))
-        while len(left):
-            self.probes += 1
-            free = left[self.keys[slot[left]] == 0]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.logs[slot[put]] = keys[put], logs[put]
-            left = np.setdiff1d(left, put)
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+        numbers = np.array(numbers, np.int32)
+        first = np.unique(self._slot(keys, self.BITS), return_index=True)[1]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        while len(np.unique(self._slot(keys[rest], self.MORE))) < len(rest):
+            self.MORE += 1
+        self.tables = []
+        for chosen, bits in ((first, self.BITS), (rest, self.MORE)):
+            key, number, slot = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), self._slot(keys[chosen], bits)
+            key[slot], number[slot] = keys[chosen], numbers[chosen]
+            self.tables.append((key, number, bits))
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        out = np.where(self.keys[slot] == keys, self.logs[slot], -np.inf)
-        for _ in range(self.probes - 1):
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            out = np.where(self.keys[slot] == keys, self.logs[slot], out)
+        full = mixed(keys)
+        out = np.full(keys.shape, -1, np.int32)
+        for key, number, bits in self.tables:
+            slot = (full >> np.uint64(64 - bits)).astype(np.int64)
+            hit = key[slot] == keys
+            out[hit] = number[slot[hit]]
         return out
 
 
 class Lattice:
-    """Marginal log probabilities (natural) of words; ``logs`` by piece id."""
+    """All segmentations of words into pieces: marginal log probabilities and expected piece counts."""
 
-    def __init__(self, path: str, logs: np.ndarray):
-        with open(path, encoding="utf-8") as f:
+    def __init__(self, path: str):
+        with open(vocabulary_file(path), encoding="utf-8") as f:
             model = json.load(f)["model"]
         end = model.get("end_of_word_suffix") or ""
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
@@ -186,68 +221,103 @@ class Lattice:
                 for to in ([last] if at_end else [inner]) if end else [inner, last]:
                     to[0].append(bytes(byte_of[c] for c in body))
                     to[1].append(k)
-        self.inner, self.last = PieceTable(inner[0], logs[inner[1]]), PieceTable(last[0], logs[last[1]])
+        self.inner, self.last = PieceTable(*inner), PieceTable(*last)
+        self.pieces = np.array(sorted({*inner[1], *last[1]}))
         self.longest = max(map(len, inner[0] + last[0]))
 
-    def forward(self, words: np.ndarray) -> np.ndarray:
-        """Words of one length, as rows of bytes."""
+    def forward(self, words: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+        """Forward log sums at each place of words of one length (rows of bytes), and the edges: per end, first start, pieces, weights.
+
+        ``logs`` holds a log weight per piece, and one more entry, -inf, for no piece."""
         n, length = words.shape
         alpha = np.full((n, length + 1), -np.inf)
         alpha[:, 0] = 0
         hashes = np.zeros((n, length), np.uint64)
+        edges = []
         for j in range(1, length + 1):
             low = max(0, j - self.longest)
             hashes[:, low:j] = hashes[:, low:j] * _BASE + (words[:, j - 1 : j].astype(np.uint64) + np.uint64(1))
-            table = self.last if j == length else self.inner
-            paths = alpha[:, low:j] + table(hashes[:, low:j])
+            found = (self.last if j == length else self.inner)(hashes[:, low:j])
+            weight = logs[found]
+            paths = alpha[:, low:j] + weight
             top = paths.max(1)
             safe = np.where(np.isfinite(top), top, 0)
             with np.errstate(divide="ignore"):
                 alpha[:, j] = safe + np.log(np.exp(paths - safe[:, None]).sum(1))
-        return alpha[:, length]
+            edges.append((low, found, weight))
+        return alpha, edges
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def expected(self, words: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in ``counts`` occurrences of the words, by forward and backward sums."""
+        alpha, edges = self.forward(words, logs)
+        n, length = words.shape
+        beta = np.full((n, length + 1), -np.inf)
+        beta[:, length] = 0
+        total = np.zeros(len(logs))
+        for j in range(length, 0, -1):
+            low, found, weight = edges[j - 1]
+            onward = weight + beta[:, j : j + 1]
+            beta[:, low:j] = np.logaddexp(beta[:, low:j], onward)
+            at, start = np.nonzero(found >= 0)
+            with np.errstate(invalid="ignore"):
+                share = np.exp(alpha[at, low + start] + onward[at, start] - alpha[at, length]) * counts[at]
+            total += np.bincount(found[at, start], np.nan_to_num(share), len(logs))
+        return total
+
+    def _by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of words of one length, and those words as rows of bytes."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(words))
         by = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[by], prepend=-1)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(by)]):  # noqa: B905
             size = max(1, 100_000 // max(1, int(lengths[by[a]])))
             for low in range(a, b, size):
                 rows = by[low : min(b, low + size)]
-                out[rows] = self.forward(_padded([words[k] for k in rows.tolist()], int(lengths[rows[0]])))
+                yield rows, _padded([words[k] for k in rows.tolist()], int(lengths[rows[0]]))
+
+    def expected_counts(self, words: list[bytes], logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        logs = np.append(logs, -np.inf)
+        return sum((self.expected(x, logs, counts[rows]) for rows, x in self._by_length(words)), np.zeros(len(logs)))[:-1]
+
+    def __call__(self, words: list[bytes], logs: np.ndarray) -> np.ndarray:
+        """Log probability of each word: the sum over all its segmentations."""
+        logs, out = np.append(logs, -np.inf), np.zeros(len(words))
+        for rows, x in self._by_length(words):
+            out[rows] = self.forward(x, logs)[0][:, -1]
         return out
 
 
+@lru_cache(maxsize=2)
+def load_lattice(path: str) -> Lattice:
+    return Lattice(path)
+
+
 def score_documents(docs: DataFrame, path: str, *, fold: int = FOLD, prior: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     chunks = materialize(spark, chunk_texts(docs, fold), "chunks")
     words = materialize(
         spark,
-        chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")),
+        chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"), F.count(F.lit(1)).alias("chunks")),
         "words",
     )
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     n, v = totals.n + ends, totals.v + (ends > 0)
-    counts = count_pieces(words, path)
-    logs = np.log((counts + PIECE_PRIOR) / (counts.sum() + PIECE_PRIOR * len(counts)))
-    # n + v is 0 without training texts; then pieces have all the mass but the end's
-    escape = v / (n + v) if v else 0.5
-    whole = (1 - escape) / n if n else 0.0
-    end_log = float(np.log(whole * ends if ends else 1 - escape))
+    logs = fit_pieces(words, path)
+    stop = (ends + 0.5) / (n + 1)
+    on_log, end_log = float(np.log(1 - stop)), float(np.log(stop))
 
     def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Lattice(path, logs)
-        for listed, c in _gathered(batches):
-            with np.errstate(divide="ignore"):
-                total = np.logaddexp(score(listed) + np.log(escape), np.log(whole * c))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8") for w in listed], pa.string()), pa.array(c), pa.array(total)], ["word", "c", "lp"])
+        score = load_lattice(path)
+        for listed, rows in _gathered(batches):
+            yield from rows.append_column("lp", pa.array(score(listed, logs) + on_log)).to_batches()
 
-    scored = words.select("word", "c").mapInArrow(lattice, "word string, c long, lp double")
+    scored = materialize(spark, words.select("word", "c", "chunks").mapInArrow(lattice, "word string, c long, chunks long, lp double"), "scored")
+    common = F.broadcast(scored.where("chunks > 1").orderBy(F.desc("chunks"), "word").limit(COMMON).select("word", "c", "lp"))  # COMMON rows at most
     needed = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
-    known = needed.join(scored, "word").select("chunk", "pos", "c", "lp")
+    known = needed.join(common, "word").unionByName(needed.join(common, "word", "left_anti").join(scored.select("word", "c", "lp"), "word"))
+    known = known.select("chunk", "pos", "c", "lp")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
