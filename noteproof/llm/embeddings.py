@@ -1,18 +1,21 @@
-"""Embedding near-duplicates: cover trees over blocks of vectors, joined by dual traversal.
+"""Embedding near-duplicates: a tree of nested centers, walked against itself.
 
 Vectors are compared inside equal labels (and equal dimensions) by cosine in double precision.
-Equal vectors form a class first, so copies cost one row. Classes go to the nearest of their
-label's centers (one in ``BLOCK`` classes); pairs of cells whose covering radii keep them apart
-are pruned before any vector moves, and large cells are split into blocks of about ``BLOCK``.
-Each surviving pair of blocks is one task: a cover tree of nested levels with halving radii on
-either side, walked together. A pair of nodes is pruned if even its nearest members are too far
-apart, counted as a whole if even its farthest are near enough, and opened otherwise.
+Equal vectors form a class first, so copies cost one row. Classes descend a tree of nested centers:
+a node above ``BLOCK`` classes draws about ``FAN`` of them as centers, its own among them, and each class
+goes to the nearest; one exchange a level. Pairs of nodes descend together from the roots, and
+a pair goes no further once the covering radii keep its nodes apart.
+Leaves are split into blocks of about ``BLOCK``. Each surviving pair of blocks is one task: a cover
+tree of nested levels with halving radii on either side, walked together. A pair of nodes is pruned
+if even its nearest members are too far apart, counted as a whole if even its farthest are near
+enough, and opened otherwise.
 
 A task returns link counts per class and a spanning forest of its links, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or
-whose label is null, link with nothing (n_links 0, their own component); repeated vec_ids count
-as vectors of their own for n_links and share the component; an empty table gives an empty result.
+whose label or vec_id is null, link with nothing (n_links 0, their own component; a null vec_id is kept);
+repeated vec_ids are vectors of their own, with the same or another vector; columns other than vec_id,
+embedding and label are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_materialized, left_join_heavy, materialize
 from .graph import connected_components
 
 THRESHOLD = 0.93
 BLOCK = 2_000
+#: Centers that a node of the tree draws, about.
+FAN = 64
 #: Radii below this are leaves; their members are compared one by one.
 LEAF_RADIUS = 1e-3
 _SLACK = 1e-9
@@ -148,79 +153,154 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def unit_classes(vectors: DataFrame) -> DataFrame:
-    """One row per (label, vector): cls (smallest vec_id), n, label, dim, unit."""
+    """One row per (label, vector): least (its smallest vec_id), n, label, dim, unit, e."""
     e = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.size(e) == F.size(F.filter(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     grouped = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), "label")
         .where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("e") > 0) & sound)
         .groupBy("label", "e")
-        .agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     )
     # scaled by the largest component first, so that squares neither overflow nor vanish
     top = F.aggregate("e", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
     scaled = grouped.withColumn("top", top).where("top > 0").withColumn("e1", F.transform("e", lambda v: v / F.col("top")))
     norm = F.sqrt(F.aggregate("e1", F.lit(0.0), lambda a, v: a + v * v))
     return scaled.withColumn("norm", norm).select(
-        "cls", "n", "label", F.size("e").alias("dim"), F.transform("e1", lambda v: v / F.col("norm")).alias("unit"), "e"
+        "least", "n", "label", F.size("e").alias("dim"), F.transform("e1", lambda v: v / F.col("norm")).alias("unit"), "e"
     )
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Each class (left) with the nearest of its node's centers (right)."""
+    none = pa.table({"node": pa.array([], pa.int64()), "parent": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+    if not len(left) or not len(right):
+        return none
+    x, center = _matrix(left["unit"]), _matrix(right["unit"])
+    at, d = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for low in range(0, len(x), 4096):
+        gap = chord(x[low : low + 4096], center)
+        at[low : low + 4096] = gap.argmin(1)
+        d[low : low + 4096] = gap.min(1)
+    return pa.table({"node": right["center"].to_numpy()[at], "parent": left["node"], "cls": left["cls"], "d": d})
+
+
+def center_tree(units: DataFrame, block: int, fan: int = FAN) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaf of each class (node, cls), and the levels of nodes, the roots first.
+
+    ``units``: cls, label, dim, unit. A level holds node (the class at its center), parent, radius, rows, leaf, unit."""
+    spark = units.sparkSession
+    draw = F.struct(F.xxhash64("cls").alias("h"), F.col("cls"))
+    root = units.groupBy("label", "dim").agg(F.min(draw).alias("m")).select("label", "dim", F.col("m.cls").alias("node"))
+    at = units.select("cls", "label", "dim", F.pmod(F.xxhash64("cls", F.lit(4)), F.lit(64)).alias("salt"))
+    roots = at.select("label", "dim", "salt").distinct().join(root, ["label", "dim"])
+    placed = at.join(roots, ["label", "dim", "salt"]).select("node", F.col("node").alias("parent"), "cls", F.lit(2.0).alias("d"))
+    placed = materialize(spark, placed, "placed")
+    levels: list[DataFrame] = []
+    leaves: list[DataFrame] = []
+    before: DataFrame | None = None
+    while True:
+        nodes = placed.groupBy("node", "parent").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("rows"))
+        if before is None:
+            nodes = nodes.withColumn("above", 2 * F.col("rows"))
+        else:
+            nodes = nodes.join(before.select(F.col("node").alias("parent"), F.col("rows").alias("above")), "parent")
+        # a node that keeps nearly all of its parent's classes is a leaf: its vectors lie too close to part
+        nodes = nodes.withColumn("leaf", (F.col("rows") <= block) | (10 * F.col("rows") > 9 * F.col("above")))
+        nodes = nodes.join(units.select(F.col("cls").alias("node"), "unit"), "node").select("node", "parent", "radius", "rows", "leaf", "unit")
+        nodes = materialize(spark, nodes, "nodes")
+        levels.append(nodes)
+        known = nodes.select("node", "rows", "leaf")
+        salted = placed.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(4)), F.lit(64)))
+        known = salted.select("node", "salt").distinct().join(known, "node")
+        salted = salted.join(known, ["node", "salt"])
+        leaves.append(materialize(spark, salted.where("leaf").select("node", "cls"), "leaves"))
+        if not nodes.where("not leaf").limit(1).count():
+            break
+        chance = F.pmod(F.xxhash64("cls", F.lit(len(levels))), F.col("rows"))
+        inner = salted.where("not leaf").join(units.select("cls", "unit"), "cls")
+        parts = F.ceil(F.col("rows") / (4 * block)).cast("int")
+        shards = inner.select("node", F.pmod(F.xxhash64("cls", F.lit(1)), parts).cast("int").alias("part"), "cls", "unit")
+        centers = inner.where((chance < fan) | (F.col("cls") == F.col("node"))).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("cls").alias("center"), "unit")
+        on = ["node", "part"]
+        deeper = shards.groupBy(*on).cogroup(centers.toDF(*centers.columns).groupBy(*on)).applyInArrow(_nearest, "node long, parent long, cls long, d double")
+        deeper = materialize(spark, deeper, "placed")
+        drop_materialized(spark, placed)
+        placed, before = deeper, nodes
+    drop_materialized(spark, placed)
+    leaf = leaves[0]
+    for more in leaves[1:]:
+        leaf = leaf.unionByName(more)
+    return leaf, levels
+
+
+def near_pairs(levels: list[DataFrame], reach: float) -> DataFrame:
+    """Pairs (a, b) of leaves whose covering radii do not keep them apart, each once, a leaf with itself among them."""
+    spark = levels[0].sparkSession
+    pairs = levels[0].select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("leaf").alias("la"), F.col("leaf").alias("lb"))
+    done = [pairs.where("la and lb").select("a", "b")]
+    pairs = pairs.where("not (la and lb)")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"a": pa.int64(), "b": pa.int64(), "la": pa.bool_(), "lb": pa.bool_()}
+        if not len(left):
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        own = left["a"][0].as_py() == left["b"][0].as_py()
+        if own:
+            right = left
+        d = chord(_matrix(left["unit"]), _matrix(right["unit"]))
+        near = d <= left["radius"].to_numpy()[:, None] + right["radius"].to_numpy()[None, :] + reach + _SLACK
+        i, j = np.nonzero(np.triu(near) if own else near)
+        x, y = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.table({"a": x["node"], "b": y["node"], "la": x["leaf"], "lb": y["leaf"]})
+
+    for k in range(1, len(levels)):
+        # what a pair turns into on a side: the node's children, or a leaf itself
+        stay = [x.where("leaf") for x in levels[:k]]
+        sides = levels[k].select(F.col("parent").alias("from"), "node", "radius", "leaf", "unit")
+        for x in stay:
+            sides = sides.unionByName(x.select(F.col("node").alias("from"), "node", "radius", "leaf", "unit"))
+        one = pairs.select("a", "b").join(sides.withColumnRenamed("from", "a"), "a")
+        two = pairs.where("a <> b").select("a", "b").join(sides.withColumnRenamed("from", "b"), "b").select("a", "b", "node", "radius", "leaf", "unit")
+        met = one.groupBy("a", "b").cogroup(two.toDF(*two.columns).groupBy("a", "b")).applyInArrow(meet, "a long, b long, la boolean, lb boolean")
+        met = materialize(spark, met, "pairs")
+        done.append(met.where("la and lb").select("a", "b"))
+        pairs = met.where("not (la and lb)")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * threshold)
-    key = ["label", "dim"]
-    classes = materialize(spark, unit_classes(vectors), "classes")
-    units = classes.select("cls", "n", *key, "unit")
-    sizes = units.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.xxhash64("cls").alias("h"), F.col("cls"))).alias("first")
-    )
-    sizes = sizes.select(*key, F.col("first.cls").alias("first"), F.greatest(F.lit(1), F.ceil(F.col("rows") / block)).cast("int").alias("parts"))
-    keyed = units.join(sizes, key)
-    centers = keyed.where((F.pmod(F.xxhash64("cls"), F.lit(block)) == 0) | (F.col("cls") == F.col("first"))).select(
-        *key, F.col("cls").alias("center"), "unit", "parts"
-    )
-    shards = keyed.select(*key, F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int").alias("part"), "cls", "n", "unit")
-    spread = centers.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "center", "unit")
-
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"cls": pa.array([], pa.int64()), "center": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        d = chord(_matrix(left["unit"]), _matrix(right["unit"]))
-        k = d.argmin(1)
-        return pa.table({"cls": left["cls"], "center": pa.array(right["center"].to_numpy()[k]), "d": pa.array(d[np.arange(len(d)), k])})
-
-    on = [*key, "part"]
-    assigned = shards.groupBy(*on).cogroup(spread.toDF(*spread.columns).groupBy(*on)).applyInArrow(nearest, "cls long, center long, d double")
-    assigned = materialize(spark, assigned, "cells")
-    cells = assigned.groupBy("center").agg(F.max("d").alias("radius"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cells = cells.join(centers.select(*key, "center", "unit"), "center")
-    one, two = (cells.select(*key, *[F.col(c).alias(f"{c}{s}") for c in ("center", "radius", "blocks", "unit")]) for s in "12")
-    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("unit1", "unit2", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
-    cell_pairs = one.join(two, key).where((F.col("center1") <= F.col("center2")) & (gap <= F.col("radius1") + F.col("radius2") + reach + 1e-9))
+    # a class is named by its row, not by a vec_id, which other vectors may share
+    classes = materialize(spark, unit_classes(vectors).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    leaf, levels = center_tree(classes.select("cls", "label", "dim", "unit"), block, fan)
+    rows = levels[0].select("node", F.when(F.col("leaf"), F.col("rows")).alias("rows"))
+    for level in levels[1:]:
+        rows = rows.unionByName(level.select("node", F.when(F.col("leaf"), F.col("rows")).alias("rows")))
+    sizes = rows.where("rows is not null").select("node", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     block_pairs = (
-        cell_pairs.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)))
-        .withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)))
-        .where("center1 < center2 or b1 <= b2")
-        .select("center1", "b1", "center2", "b2")
-    )
-    placed = (
-        units.select("cls", "n", "unit").join(assigned, "cls").join(cells.select("center", "blocks"), "center")
-        .select("center", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("b"), "cls", "n", "unit")
+        near_pairs(levels, reach)
+        .join(sizes.select(F.col("node").alias("a"), F.col("blocks").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("blocks").alias("nb")), "b")
+        .withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .where("a <> b or ba <= bb").select("a", "ba", "b", "bb")
     )
-    pair = ["center1", "b1", "center2", "b2"]
-    first = block_pairs.join(placed.select(F.col("center").alias("center1"), F.col("b").alias("b1"), "cls", "n", "unit"), ["center1", "b1"])
-    second = block_pairs.where("center1 <> center2 or b1 <> b2").join(
-        placed.select(F.col("center").alias("center2"), F.col("b").alias("b2"), "cls", "n", "unit"), ["center2", "b2"]
-    )
+    block_pairs = materialize(spark, block_pairs, "pairs")
+    placed = leaf.join(sizes, "node").join(classes.select("cls", "n", "unit"), "cls")
+    placed = materialize(spark, placed.select("node", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("blocks")).cast("int").alias("at"), "cls", "n", "unit"), "cells")
+    pair = ["a", "ba", "b", "bb"]
+    first = block_pairs.join(placed.select(F.col("node").alias("a"), F.col("at").alias("ba"), "cls", "n", "unit"), ["a", "ba"])
+    second = block_pairs.where("a <> b or ba <> bb").join(placed.select(F.col("node").alias("b"), F.col("at").alias("bb"), "cls", "n", "unit"), ["b", "bb"])
 
     def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        same = bool(len(left)) and left["a"][0].as_py() == left["b"][0].as_py() and left["ba"][0].as_py() == left["bb"][0].as_py()
+        if not len(left) or not (same or len(right)):
+            return pa.table({"cls": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         lx, x, wx = left["cls"].to_numpy(), _matrix(left["unit"]), left["n"].to_numpy()
-        same = not len(right)
-        empty = pa.table({"cls": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        if not len(left) or (same and left["center1"][0].as_py() != left["center2"][0].as_py()) or (same and left["b1"][0].as_py() != left["b2"][0].as_py()):
-            return empty
         ly, y, wy = (lx, x, wx) if same else (right["cls"].to_numpy(), _matrix(right["unit"]), right["n"].to_numpy())
         nx, ny, forest = dual_links(x, y, same, threshold, wx, wy)
         a = np.concatenate([lx[i] for i, _ in forest]) if forest else np.zeros(0, np.int64)
@@ -238,17 +318,22 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, block:
 
     found = first.groupBy(*pair).cogroup(second.toDF(*second.columns).groupBy(*pair)).applyInArrow(links, "cls long, links long, other long")
     found = materialize(spark, found, "links")
+    drop_materialized(spark, block_pairs, placed)
     component = connected_components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     linked = found.groupBy("cls").agg(F.sum("links").alias("outside"))
-    known = (
-        classes.select("cls", "n", "label", "e").join(linked, "cls", "left").join(component.withColumnRenamed("id", "cls"), "cls", "left")
-        .select("label", "e", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "cls").alias("least"))
-    )
+    known = classes.select("cls", "n", "least", "label", "e").join(linked, "cls", "left").join(component.withColumnRenamed("id", "cls"), "cls", "left")
+    known = known.withColumn("component", F.coalesce("component", "cls")).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(64)))
+    known = materialize(spark, known, "known")
+    # the smallest vec_id of a component, to its classes spread by salt
+    roots = known.groupBy("component").agg(F.min("least").alias("root"))
+    roots = known.select("component", "salt").distinct().join(roots, "component")
+    known = known.join(roots, ["component", "salt"]).select("label", "e", "n", (F.coalesce("outside", F.lit(0)) + F.col("n") - 1).alias("links"), "root")
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    joined = own.join(known, ["label", "e"], "left")
-    return joined.select(
+    joined = left_join_heavy(own, materialize(spark, known, "known"), ["label", "e"], "n", vectors.count())
+    # a null vec_id links with nothing, even where others have its vector
+    return joined.withColumn("root", F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))).select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("least", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("least", "vec_id")).alias("kept"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.col("root").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.col("root"), F.lit(True)).alias("kept"),
     )
