@@ -7,12 +7,13 @@ program. Its columns are patterns (how many of each class share a sequence); a k
 program prices them by the dual values until none improves. Patterns are used the whole number of
 times below their solution, and what is left over is packed first-fit by decreasing length.
 
-Documents are ranked inside their class without gathering a class in one task: ranks inside hash
-buckets of bounded size, shifted by the counts of the buckets before. A rank names its pattern,
-sequence and slot.
+Documents are ranked inside their class without gathering a class in one task: ranks inside
+buckets of bounded size, dealt by row number, shifted by the counts of the buckets before. A rank
+names its pattern, sequence and slot.
 
 Defined results: null and empty text hold the end id alone; repeated rows are packed each; null
-doc_ids keep their rows; an empty table gives an empty result. Padding left is the rounding of
+doc_ids keep their rows; texts may have any length; columns other than doc_id and text are not read,
+whatever their names; an empty table gives an empty result. Padding left is the rounding of
 classes and the unfilled ends of patterns; full sequences have none.
 """
 
@@ -108,21 +109,19 @@ def cut_documents(docs: DataFrame, path: str, *, end_id: int, capacity: int = CA
     """doc_id, start, length, ids_crc32, doc_tokens: full pieces, then the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.library(path), np.array([end_id], "<u4").tobytes()
+        enc = tokens.library(path)
         for batch in batches:
-            docs_out, starts, lengths, sums, totals = [], [], [], [], []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_batch(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    docs_out.append(doc)
-                    starts.append(start)
-                    lengths.append(len(piece) // 4)
-                    sums.append(zlib.crc32(piece))
-                    totals.append(total)
+            ids, ends = tokens.with_end(*enc.encode_column(batch.column(1)), end_id)
+            data = memoryview(ids.tobytes())
+            totals = np.diff(ends, prepend=0)
+            pieces = -(-totals // capacity)
+            doc = np.repeat(np.arange(len(ends)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            length = np.minimum(capacity, totals[doc] - start)
+            low = 4 * ((ends - totals)[doc] + start)
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (docs_out, starts, lengths, sums, totals)],
+                [batch.column(0).take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (start, length, sums, totals[doc])]],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
@@ -131,22 +130,27 @@ def cut_documents(docs: DataFrame, path: str, *, end_id: int, capacity: int = CA
 
 
 def rank_in_class(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """Adds ``rank`` from 0 within ``cls``, gathering no class in one task."""
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    inside = keyed.withColumn(
-        "k", F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")) - 1
-    )
-    sizes = keyed.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("cls").orderBy("bucket")) - F.col("n")).drop("n")
-    return inside.join(before, ["cls", "bucket"]).withColumn("rank", F.col("before") + F.col("k")).drop("bucket", "k", "before")
+    """Adds ``rank`` from 0 within ``cls``, gathering no class in one task.
+
+    ``pieces`` is a stored table, and has a ``row`` number in it. Rows are dealt to buckets by that number, so
+    copies of one document part, and the buckets' counts are summed in two levels."""
+    most = max(counts.values(), default=0)
+    buckets = max(1, -(-most // BUCKET_ROWS))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))).withColumn("shelf", F.floor(F.col("bucket") / BUCKET_ROWS))
+    inside = keyed.withColumn("k", F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("row")) - 1)
+    sizes = keyed.groupBy("cls", "shelf", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    shelves = sizes.groupBy("cls", "shelf").agg(F.sum("n").alias("n"))
+    ahead = shelves.select("cls", "shelf", (F.sum("n").over(Window.partitionBy("cls").orderBy("shelf")) - F.col("n")).alias("ahead"))
+    before = sizes.join(ahead, ["cls", "shelf"])
+    before = before.select("cls", "bucket", (F.col("ahead") + F.sum("n").over(Window.partitionBy("cls", "shelf").orderBy("bucket")) - F.col("n")).alias("before"))
+    return inside.join(before, ["cls", "bucket"]).withColumn("rank", F.col("before") + F.col("k"))
 
 
 def pack_documents(docs: DataFrame, path: str, *, end_id: int, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
     spark = docs.sparkSession
     cls = F.when(F.col("length") == capacity, F.lit(0)).otherwise(F.ceil(F.col("length") / grain)).cast("int")
-    pieces = materialize(spark, cut_documents(docs, path, end_id=end_id, capacity=capacity).withColumn("cls", cls), "pieces")
+    pieces = materialize(spark, cut_documents(docs, path, end_id=end_id, capacity=capacity).withColumn("cls", cls).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r.cls: r["count"] for r in pieces.groupBy("cls").count().collect()}  # one row per class
     present = sorted(c for c in counts if c)
     sizes, demand = np.array(present, np.int64), np.array([counts[c] for c in present], np.int64)
