@@ -14,15 +14,12 @@ from .common import checkpoint_root, ship, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+#: Looked up where it is read, on driver and workers.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    decoded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
     return decoded.select(
         "doc_id",
         "n_tokens",
@@ -49,17 +46,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark)}/noteproof/tokens-{uuid.uuid4().hex}"
-    token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), folder, end_id=2)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY, folder, end_id=2)
     read = token_files.read_token_files(spark, folder)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, end_id=1)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ bytes agree to the left.
 Defined results: null text is empty; documents under ``LENGTH`` bytes lose nothing; repeats
 overlap, cover each other and may lie in one document; repeated rows are documents of their own
 (so copies of 200 bytes or more lose all their bytes); an empty table gives an empty result.
-``docs`` must give the same rows in the same partitions when read again, as stored tables do.
+Texts may have any length; columns other than doc_id and text, whatever their names, are carried
+along by ``deduplicated`` and not read by ``remove_repeats``; null doc_ids are kept.
 """
 
 from __future__ import annotations
@@ -321,16 +322,18 @@ def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRA
     return found.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
-def _cut_out(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """row (the document's own columns), n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
-    cols = docs.columns
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+def _cut_out(docs: DataFrame, length: int, gram: int, *, as_text: bool) -> DataFrame:
+    """row (the document's own columns but text), n_bytes, n_removed, n_spans, kept: the bytes left, or as text without characters cut apart."""
+    # stored, so that numbers stay with their rows
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    numbered = materialize(docs.sparkSession, numbered, "numbered", compression="zstd")
     spans = repeated_spans(numbered, length=length, gram=gram)
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, kept, end, removed, n = _bytes_of(text), [], 0, 0, 0
                 for a, b in sorted((s["from"], s["to"]) for s in spans or ()):
                     if a > end or not n:
@@ -342,35 +345,26 @@ def _cut_out(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         removed += b - end
                         end = b
                 kept.append(data[end:])
-                for column, value in zip(out, (len(data), removed, n, b"".join(kept)), strict=True):
+                left = b"".join(kept)
+                for column, value in zip(out, (len(data), removed, n, left.decode("utf-8", "ignore") if as_text else left), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, t) for x, t in zip(out, [*[pa.int64()] * 3, pa.binary()], strict=True)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
+            kinds = [*[pa.int64()] * 3, pa.string() if as_text else pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = numbered.join(spans, "rid", "left").select("row", "spans")
+    packed = F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row")
+    joined = numbered.join(spans, "rid", "left").select(packed, F.col("row.text").alias("text"), "spans")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text, n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
-    cut = _cut_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram)
-    return cut.select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept")
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
+    cut = _cut_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, as_text=False)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def deduplicated(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings cut out of text (characters cut apart go too) and n_chars, if any, counted anew."""
-    left = _cut_out(docs, length, GRAM).select("row", "kept")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    packed = left.select(F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row"), "kept")
-    kind = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"row {kind}, text string")
-    columns = {c: F.col("row")[c] for c in rest} | {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    left = _cut_out(docs, length, GRAM, as_text=True)
+    columns = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*[columns[c].alias(c) for c in docs.columns])

@@ -12,7 +12,8 @@ document is scored on its whole text.
 Defined results: null or empty text has no features and gets the severity of the thresholds alone;
 labels that are null are ignored; without labels, or with one grade only, nothing is rejected and
 severity is that grade (0 without labels); repeated rows are scored alike; an empty table gives an
-empty result; other columns are returned by ``filter_documents`` untouched.
+empty result; of rows that repeat a labelled doc_id, the smallest text is fitted on; texts may have any
+length; other columns, whatever their names, are returned by ``filter_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 2_000
@@ -107,7 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str = "toxic", max_rows: i
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(grade).cast("int").alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "grade")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # one text per labelled doc_id, so that repeated doc_ids don't pass max_rows
+    known = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "grade")).alias("m")).select("m.text", "m.grade")
+    known = materialize(docs.sparkSession, known, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
