@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapt
 from ..operators import history
 from ..registry import query
+from ..streaming import watch
 
 _CHECKS = "checks AS (SELECT user_id AS entry, event_id AS tag, ts AS published_at, least(100, floor(value))::BIGINT AS score, event_type AS label, (event_type = 'error')::INT AS unjudged FROM events)"
 ORDER = ("published_at", "tag")
@@ -23,7 +24,7 @@ def baseline_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_CHECKS}, w AS (SELECT entry, tag, list(score) OVER (PARTITION BY entry ORDER BY published_at, tag ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l FROM checks),
-h AS (SELECT entry, tag, CASE WHEN len(l) >= 6 THEN list_aggregate(l[1:len(l) // 2], 'median') END AS older, CASE WHEN len(l) >= 6 THEN list_aggregate(l[len(l) - len(l) // 2 + 1:], 'median') END AS newer FROM w)
+h AS (SELECT entry, tag, CASE WHEN len(l) >= 6 THEN round(list_aggregate(l[1:len(l) // 2], 'median'))::BIGINT END AS older, CASE WHEN len(l) >= 6 THEN round(list_aggregate(l[len(l) - len(l) // 2 + 1:], 'median'))::BIGINT END AS newer FROM w)
 SELECT entry, tag, older, newer, coalesce(older - newer >= 20, false) AS drifted FROM h
 """)
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,3 +184,21 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") / 100.0).alias("share"), (F.unix_millis(F.col("published_at").cast("timestamp")) / 86400000.0).alias("day"),
     )
     return history.phases(rows)
+
+
+@query(f"""
+WITH {_CHECKS}, r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY published_at, tag) AS run FROM checks),
+w AS (SELECT *, median(score) OVER b AS m, count(*) OVER b AS n, list(score) OVER (PARTITION BY entry ORDER BY run ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l,
+      sum(unjudged) OVER (PARTITION BY entry ORDER BY run ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS softened FROM r WINDOW b AS (PARTITION BY entry ORDER BY run ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT entry, tag, score, softened, CASE WHEN n >= 3 THEN round(m)::BIGINT END AS level,
+      len(l) >= 6 AND round(list_aggregate(l[1:len(l) // 2], 'median')) - round(list_aggregate(l[len(l) - len(l) // 2 + 1:], 'median')) >= 20 AS drifted FROM w)
+SELECT entry, tag::VARCHAR AS tag, level, drifted, drifted OR softened OR CASE WHEN level IS NULL THEN score < 65 ELSE score <= level - 20 END AS flagged FROM d
+""")
+def watch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert decisions of every check, folded entry by entry; tests replay the same runs as a stream."""
+    run = F.row_number().over(Window.partitionBy("entry").orderBy(*ORDER)).cast("long")
+    runs = adapt.checks(spark, sf_dir).select(
+        "entry", F.col("tag").cast("string").alias("tag"), F.col("published_at").cast("timestamp").alias("published_at"), run.alias("run"), "score",
+        F.lit(0).cast("long").alias("exit_code"), F.lit(0).cast("long").alias("critical"), F.col("unjudged").cast("long").alias("unjudged"), F.lit(0).cast("long").alias("rule_hits"),
+    )
+    return watch.decisions(runs).select("entry", "tag", "level", "drifted", "flagged")

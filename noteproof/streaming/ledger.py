@@ -37,8 +37,10 @@ def run_ledger(spark: SparkSession, source: str, schema: str, name: str, checkpo
     return spark.table(name)
 
 
-def alerts(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, *, below: int = 45) -> None:
-    """Checks scored under ``below``, each (entry, tag) written once however often it is delivered."""
+def alerts(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, *, below: int = 45, lateness: str = "90 days") -> None:
+    """Checks scored under ``below``, each (entry, tag) written once however often it is delivered.
+
+    A repeated delivery is known for ``lateness`` of published time, after which its state is let go."""
     checks = spark.readStream.schema(schema).parquet(source)
-    seen = checks.where(F.col("score") < below).withWatermark("published_at", "36500 days").dropDuplicatesWithinWatermark(["entry", "tag"])
+    seen = checks.where(F.col("score") < below).withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["entry", "tag"])
     seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
