@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import adapt
 from ..functions import text as T
-from ..operators import flags, manifests, scoring
+from ..operators import flags, manifests, scoring, substance
+from ..operators import pin_moves as moves
 from ..registry import query
 from .sql import SHAPES, SHAPES_SQL, matches_sql, sensitive_sql
 
@@ -149,3 +150,42 @@ def check_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     churn = files.select("release", F.lit(0).alias("churn"), F.lit(False).alias("covered"), F.lit(False).alias("readable"))
     scores = scoring.trust_scores(claims, churn, flags.demoted(found, shapes), "release", shapes)
     return scores.select("release", "correctness", "risk", "overall", "label")
+
+
+_IDIOMS = [
+    'x := os.Getenv("VAR_#")', "process.env.VAR_#", "process.env['VAR_#']", 'env::var("VAR_#")', "os.environ['VAR_#']", "os.getenv('VAR_#')", "ENV.fetch('VAR_#')", 'A string `env:"VAR_#;OTHER_#"`', "no VAR_# read", "getenv(VAR_#)",
+]
+_IDIOMS_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _IDIOMS) + "]"
+_READS_SQL = "list_concat(" * (len(substance.ENV_READS) - 1) + "".join(
+    ("" if k == 0 else ", ") + "regexp_extract_all(line, '" + p.replace("'", "''") + "', 1)" + ("" if k == 0 else ")") for k, p in enumerate(substance.ENV_READS)
+)
+
+
+@query(f"""
+WITH l AS (SELECT l_suppkey AS release, l_returnflag <> 'R' AS plus, replace(({_IDIOMS_SQL})[1 + l_orderkey % {len(_IDIOMS)}], '#', (l_partkey % 400)::VARCHAR) AS line FROM lineitem),
+n AS (SELECT DISTINCT release, plus, unnest(flatten(list_transform({_READS_SQL}, lambda x: string_split(replace(x, ',', ';'), ';')))) AS name FROM l), s AS (SELECT release, name, count(*) AS n, bool_or(plus) AS plus FROM n WHERE name <> '' GROUP BY ALL)
+SELECT release, 'envVars' AS layer, name, plus FROM s WHERE n = 1
+""")
+def env_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Environment variables that only one side of a release's diff reads."""
+    idiom = F.get(F.array(*[F.lit(x) for x in _IDIOMS]), (F.col("l_orderkey") % len(_IDIOMS)).cast("int"))
+    line = F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise("+"), F.replace(idiom, F.lit("#"), (F.col("l_partkey") % 400).cast("string")))
+    lines = adapt.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("release"), (F.col("l_orderkey") % 7).alias("file"), line.alias("line"))
+    files = lines.groupBy("release", "file").agg(F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(F.collect_list("line"), "\n")).alias("patch"))
+    delta = substance.surface_delta(files.select("release", F.concat(F.lit("src/f"), F.col("file").cast("string"), F.lit(".rs")).alias("path"), "patch"))
+    return delta.select("release", "layer", "name", "plus")
+
+
+@query("""
+WITH l AS (SELECT l_suppkey AS release, l_returnflag = 'R' AS old, 'M' || (l_partkey % 30) || CASE WHEN l_partkey % 5 = 0 THEN '_SIZE' ELSE '_VERSION' END AS name, '1.' || (l_quantity::BIGINT % 9) AS version, row(l_orderkey, l_linenumber, l_partkey, l_quantity) AS ord FROM lineitem),
+e AS (SELECT * FROM l WHERE name LIKE '%VERSION'), o AS (SELECT release, name, arg_max(version, ord) AS "from" FROM e WHERE old GROUP BY ALL)
+SELECT release, name, "from", arg_min(version, ord) AS "to" FROM e JOIN o USING (release, name) WHERE NOT old AND version <> "from" GROUP BY ALL
+""")
+def pin_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins that the changed lines of makefiles move, one file a supplier."""
+    named = F.concat(F.lit("M"), (F.col("l_partkey") % 30).cast("string"), F.when(F.col("l_partkey") % 5 == 0, "_SIZE").otherwise("_VERSION"))
+    line = F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise("+"), named, F.lit(" := 1."), (F.col("l_quantity").cast("long") % 9).cast("string"))
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", line.alias("line"))
+    files = adapt.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("release")).agg(F.array_sort(F.collect_list(place)).alias("lines"))
+    patch = F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(F.col("lines.line"), "\n")).alias("patch")
+    return moves.pin_moves(files.select("release", F.lit("Makefile").alias("path"), patch)).select("release", "name", "from", "to")
