@@ -23,23 +23,36 @@ def anchors(claims: DataFrame, commits: DataFrame) -> DataFrame:
     return by_number.unionByName(by_sha.select("claim", "sha", F.lit("sha").alias("via"))).distinct()
 
 
-def contained_terms(texts: DataFrame, needles: DataFrame, text_key: str, needle_key: str) -> DataFrame:
-    """text_key, needle_key, term: which needles occur as substrings of which texts.
+#: What terms of plain needles are made of; each lies inside one maximal run of these.
+RUN = r"[A-Za-z0-9_.\-]+"
+
+
+def runs_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), 0))
+
+
+def runs_with_terms(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """run, term: which of the distinct ``terms`` lie inside which of the distinct ``runs``.
 
-    texts: text_key, text; needles: needle_key, term (made of [A-Za-z0-9_.-] only). A term of that
-    class lies inside one maximal run of the class, so distinct runs meet distinct terms once, and
-    both sides come back by equality. Runs meet a term on its rarest 3-gram, as counted over the distinct runs."""
-    runs = texts.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.\\-]+"), 0))).alias("run"))
+    Runs meet a term on its rarest 3-gram, as counted over the runs, and are then tested."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
     vocabulary = runs.select("run").distinct().where(F.length("run") >= 3)
-    wanted = needles.select("term").distinct().where(F.length("term") >= 3).select("term", F.explode(grams(F.col("term"))).alias("gram"))
+    wanted = terms.select("term").distinct().where(F.length("term") >= 3).select("term", F.explode(grams(F.col("term"))).alias("gram"))
     held = vocabulary.select(F.explode(grams(F.col("run"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a term one of whose grams is in no run is in none
     counted = wanted.join(held, "gram", "left").na.fill(0, ["n"])
-    terms = counted.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("m")).where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
-    hits = (
-        vocabulary.withColumn("gram", F.explode(grams(F.col("run")))).join(terms, "gram").where(F.col("run").contains(F.col("term"))).select("run", "term").distinct()
-    )
+    rarest = counted.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("m")).where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
+    met = vocabulary.withColumn("gram", F.explode(grams(F.col("run")))).join(rarest, "gram")
+    return met.where(F.col("run").contains(F.col("term"))).select("run", "term").distinct()
+
+
+def contained_terms(texts: DataFrame, needles: DataFrame, text_key: str, needle_key: str) -> DataFrame:
+    """text_key, needle_key, term: which needles occur as substrings of which texts.
+
+    texts: text_key, text; needles: needle_key, term (made of [A-Za-z0-9_.-] only). A term lies inside
+    one maximal run of its characters, so distinct runs meet distinct terms once, and both sides come back by equality."""
+    runs = texts.select(text_key, F.explode(runs_of(F.col("text"))).alias("run"))
+    hits = runs_with_terms(runs, needles)
     return runs.join(hits, "run").select(text_key, "term").distinct().join(needles, "term").select(text_key, needle_key, "term")
 
 
