@@ -24,6 +24,8 @@ from .common import WS_CLASS, text_or_empty
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
+#: Kept from here: a text whose n-grams are on average 0.89 times as likely under the target as under the corpus.
+#: On sf 0.1, past the base rules, labelled good texts score from -0.028 upwards and labelled bad ones up to -0.138.
 THRESHOLD = -0.12
 #: Pseudo-counts of a raw-corpus bucket; the target's are these times its share of all n-grams,
 #: so a bucket too rare to judge weighs next to nothing.
