@@ -75,8 +75,11 @@ def breadth_covered(files: DataFrame, mentions: DataFrame) -> DataFrame:
     """sha, claim: relational division - the claim cites every file of the commit.
 
     files: sha, path; mentions: claim, path."""
-    need = files.select("sha", "path").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("need"))
-    have = files.select("sha", "path").distinct().join(mentions.distinct(), "path").groupBy("sha", "claim").agg(F.count(F.lit(1)).alias("have"))
+    # a commit's files stay together: counted, met by each path's claims, and summed without moving again
+    held = files.select("sha", "path").repartition("sha").dropDuplicates(["sha", "path"])
+    need = held.groupBy("sha").agg(F.count("path").alias("need"))
+    citing = mentions.distinct().groupBy("path").agg(F.collect_list("claim").alias("claims"))
+    have = held.join(citing, "path").select("sha", F.explode("claims").alias("claim")).groupBy("sha", "claim").agg(F.count(F.lit(1)).alias("have"))
     return have.join(need, "sha").where("have = need").select("sha", "claim")
 
 
@@ -92,12 +95,14 @@ def hunk_ranks(claim_tokens: DataFrame, hunk_tokens: DataFrame, top: int = 6) ->
     """claim, hunk, score, rank: sum of ln(1 + N / df) over shared tokens, the best ``top`` of each claim.
 
     claim_tokens: claim, token; hunk_tokens: hunk, token (distinct)."""
-    size = hunk_tokens.select("hunk").distinct().agg(F.count(F.lit(1)).alias("total"))
-    df = hunk_tokens.join(claim_tokens.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = df.withColumn("w", F.log(1 + size.scalar() / F.col("df")))
-    scored = (
-        claim_tokens.join(weighted, "token").join(hunk_tokens, "token").groupBy("claim", "hunk").agg(F.round(F.sum("w"), 6).alias("score"))
-    )
+    # dealt by token once; counting, totals and pairs read the same exchange
+    held = hunk_tokens.select("hunk", "token").repartition("token")
+    size = held.groupBy("hunk").agg(F.max("token").alias("t")).agg(F.count(F.lit(1)).alias("total"))
+    asked = claim_tokens.groupBy("token").agg(F.collect_list("claim").alias("claims"))
+    df = held.groupBy("token").agg(F.count("hunk").alias("df"))
+    weighted = asked.join(df, "token").select("token", "claims", F.log(1 + size.scalar() / F.col("df")).alias("w"))
+    pairs = held.join(weighted, "token").select("hunk", "w", F.explode("claims").alias("claim"))
+    scored = pairs.groupBy("claim", "hunk").agg(F.round(F.sum("w"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim").orderBy(F.desc("score"), "hunk"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 
@@ -107,8 +112,11 @@ def related(left: DataFrame, right: DataFrame, *, least: float = 0.3, top: int =
 
     left: a, token; right: b, token (distinct pairs). Pairs come from shared tokens only."""
     na = left.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
-    nb = right.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    shared = left.join(right, "token").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    held = right.select("b", "token").repartition("b")
+    nb = held.groupBy("b").agg(F.count("token").alias("nb"))
+    asked = left.groupBy("token").agg(F.collect_list("a").alias("as"))
+    # a right row's tokens stay together, so pairs are summed where they arise
+    shared = held.join(asked, "token").select("b", F.explode("as").alias("a")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.join(na, "a").join(nb, "b").withColumn("overlap", F.round(F.col("n") / F.least("na", "nb"), 6)).where(F.col("overlap") > least)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("overlap"), "b"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("a", "b", "overlap", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import adapt
 from ..functions import text as T
-from ..operators import flags, manifests, scoring, substance
+from ..operators import corpus, flags, manifests, scoring, substance
 from ..operators import pin_moves as moves
 from ..registry import query
 from .sql import SHAPES, SHAPES_SQL, matches_sql, sensitive_sql
@@ -189,3 +189,50 @@ def pin_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapt.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("release")).agg(F.array_sort(F.collect_list(place)).alias("lines"))
     patch = F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(F.col("lines.line"), "\n")).alias("patch")
     return moves.pin_moves(files.select("release", F.lit("Makefile").alias("path"), patch)).select("release", "name", "from", "to")
+
+
+_TEXTS = ["bump `a/b` from 1.0 to 1.1", "Update dependency x-y to v2.0", "faster start", "update the docs to 3 sections", "drop old code"]
+_TEXTS_SQL = "[" + ", ".join(f"'{x}'" for x in _TEXTS) + "]"
+_METHODS = [["pr-anchor", "lexical"], ["sha-anchor"], ["lexical", "escalated"], [], ["pin-anchor", "escalated"], ["escalated"]]
+_METHODS_SQL = "[" + ", ".join("[" + ", ".join(f"'{m}'" for m in x) + "]::VARCHAR[]" for x in _METHODS) + "]"
+
+
+@query(f"""
+WITH r AS (SELECT l_suppkey % 25 AS repo, l_tax > 0.07 AS meta, ({_TEXTS_SQL})[1 + l_partkey % {len(_TEXTS)}] AS text, l_quantity > 40 AS generated, ({_METHODS_SQL})[1 + l_orderkey % {len(_METHODS)}] AS methods,
+  l_discount > 0.03 AS judged, l_discount BETWEEN 0.025 AND 0.035 AS judge_failed, CASE WHEN l_linenumber % 4 = 0 THEN ['a', 'a', CASE WHEN l_orderkey % 2 = 0 THEN 'a' ELSE 'b' END]::VARCHAR[] ELSE []::VARCHAR[] END AS votes, l_returnflag = 'R' AS surplus FROM lineitem),
+c AS (SELECT repo, judged, judge_failed, votes, CASE WHEN meta THEN 'meta' WHEN regexp_matches(text, '^(bump|Update dependency)') THEN 'bump' WHEN generated THEN 'generated'
+  WHEN list_has_any(methods, ['pr-anchor', 'sha-anchor', 'pin-anchor']) THEN CASE WHEN list_contains(methods, 'lexical') THEN 'anchored-strong' ELSE 'anchored-weak' END WHEN list_contains(methods, 'lexical') THEN 'unanchored-lexical' ELSE 'unanchored-none' END AS class,
+  CASE WHEN judged OR judge_failed THEN CASE WHEN len(votes) > 0 THEN len(votes) WHEN list_contains(methods, 'escalated') THEN 2 ELSE 1 END + surplus::INT ELSE 0 END AS calls FROM r)
+SELECT repo, class, count(*) AS claims, count(*) FILTER (judged) AS judged, count(*) FILTER (judge_failed) AS failed, sum(calls)::BIGINT AS calls, count(*) FILTER (len(votes) > 0) AS second_look, count(*) FILTER (len(list_distinct(votes)) > 1) AS split FROM c GROUP BY repo, class
+""")
+def judge_bill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each class of claims cost a judge, per repository."""
+    pick = lambda xs, key: F.get(F.array(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(m) for m in x]).cast("array<string>") for x in xs]), (F.col(key) % len(xs)).cast("int"))
+    votes = F.when(F.col("l_linenumber") % 4 == 0, F.array(F.lit("a"), F.lit("a"), F.when(F.col("l_orderkey") % 2 == 0, "a").otherwise("b")))
+    results = adapt.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") % 25).alias("repo"), F.when(F.col("l_tax") > 0.07, "meta").otherwise("change").alias("kind"), pick(_TEXTS, "l_partkey").alias("text"), (F.col("l_quantity") > 40).alias("generated"),
+        pick(_METHODS, "l_orderkey").alias("methods"), (F.col("l_discount") > 0.03).alias("judged"), F.col("l_discount").between(0.025, 0.035).alias("judge_failed"), votes.alias("votes"), (F.col("l_returnflag") == "R").alias("surplus"),
+    )
+    return corpus.judge_bill(results, "repo")
+
+
+_CHECKS_SQL = "c AS (SELECT user_id AS entry, event_id AS tag, ts AS published, least(100, floor(value))::BIGINT AS score FROM events)"
+
+
+@query(f"""
+WITH {_CHECKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY published DESC, tag DESC) AS age FROM c)
+SELECT CASE WHEN score >= 85 THEN 'solid' WHEN score >= 65 THEN 'minor gaps' WHEN score >= 45 THEN 'questionable' ELSE 'suspicious' END AS label, count(*) AS entries FROM r WHERE age = 1 GROUP BY 1
+""")
+def latest_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every entry's latest check."""
+    return corpus.latest_labels(adapt.checks(spark, sf_dir), "published_at", "tag")
+
+
+@query(f"""
+WITH {_CHECKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY published DESC, tag DESC) AS age FROM c),
+s AS (SELECT entry, list(score ORDER BY age DESC) AS scores FROM r WHERE age <= 6 GROUP BY entry)
+SELECT entry, scores, list_transform(scores, lambda x: round((x - list_min(scores)) / CASE WHEN list_max(scores) > list_min(scores) THEN list_max(scores) - list_min(scores) ELSE 1 END::DOUBLE, 6)) AS places FROM s
+""")
+def score_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last six scores of every entry, and their places between the least and the most."""
+    return corpus.trends(adapt.checks(spark, sf_dir), "published_at", "tag")
