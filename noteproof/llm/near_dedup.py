@@ -317,11 +317,13 @@ def _grouped(docs: DataFrame, threshold: int, width: int) -> DataFrame:
     links = _verified(pairs, classes, sets, threshold)
     # settled: up to three classes, each its part's leader
     large = shared.where("n > 3 or n > parts").select("key", "salt", "cls")
+    component = connected_components(links)
     for last in (False, True):
-        component = connected_components(links)
         placed = large.join(component.withColumnRenamed("id", "cls"), "cls", "left").select("key", "salt", "cls", F.coalesce("component", "cls").alias("component"))
         mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_rows = materialize(spark, _with_group(placed, ["key"], mixed_keys), "open")
+        if open_rows.isEmpty():
+            break
         if last:
             found = materialize(spark, _across_blocks(open_rows, classes, sets, threshold), "links")
         else:
@@ -329,10 +331,12 @@ def _grouped(docs: DataFrame, threshold: int, width: int) -> DataFrame:
             ranked = open_rows.join(degree, "cls", "left").na.fill(0, ["d"])
             best = ranked.groupBy("key").agg(F.max(F.struct("d", "cls", "component")).alias("m")).select("key", F.col("m.cls").alias("leader"), F.col("m.component").alias("of"))
             found = _verified(_with_group(open_rows, ["key"], best).where("component <> of").select("cls", "leader"), classes, sets, threshold)
+        if found.isEmpty():
+            continue
         merged = materialize(spark, links.unionByName(found).distinct(), "links")
         drop_materialized(spark, links, found, open_rows)
         links = merged
-    component = connected_components(links)
+        component = connected_components(links)
     # through the smallest doc_id of all classes of a component
     placed = classes.select("h1", "h2", "n_shingles", "copies", "least", "cls").join(component.withColumnRenamed("id", "cls"), "cls", "left")
     placed = placed.withColumn("component", F.coalesce("component", "cls"))
