@@ -2,7 +2,7 @@
 
 Vectors are compared inside equal labels (and equal dimensions) by cosine in double precision.
 Equal vectors form a class first, so copies cost one row. Classes descend a tree of nested centers:
-a node above ``BLOCK`` classes draws about ``FAN`` of them as centers, its own among them, and each class
+a node above ``BLOCK`` classes draws some of them as centers, about ``FAN`` at most, its own among them, and each class
 goes to the nearest; one exchange a level. Pairs of nodes descend together from the roots, and
 a pair goes no further once the covering radii keep its nodes apart.
 Leaves are split into blocks of about ``BLOCK``. Each surviving pair of blocks is one task: a cover
@@ -32,7 +32,7 @@ from .graph import connected_components
 
 THRESHOLD = 0.93
 BLOCK = 2_000
-#: Centers that a node of the tree draws, about.
+#: Centers that a node of the tree draws, about, at most.
 FAN = 64
 #: Radii below this are leaves; their members are compared one by one.
 LEAF_RADIUS = 1e-3
@@ -221,7 +221,9 @@ def center_tree(units: DataFrame, block: int, fan: int = FAN) -> tuple[DataFrame
         inner = salted.where("not leaf").join(units.select("cls", "unit"), "cls")
         parts = F.ceil(F.col("rows") / (4 * block)).cast("int")
         shards = inner.select("node", F.pmod(F.xxhash64("cls", F.lit(1)), parts).cast("int").alias("part"), "cls", "unit")
-        centers = inner.where((chance < fan) | (F.col("cls") == F.col("node"))).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("cls").alias("center"), "unit")
+        # as many centers as the node has blocks, ``fan`` at most
+        wanted = F.least(F.lit(fan), F.ceil(F.col("rows") / block))
+        centers = inner.where((chance < wanted) | (F.col("cls") == F.col("node"))).select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("cls").alias("center"), "unit")
         on = ["node", "part"]
         deeper = shards.groupBy(*on).cogroup(centers.toDF(*centers.columns).groupBy(*on)).applyInArrow(_nearest, "node long, parent long, cls long, d double")
         deeper = materialize(spark, deeper, "placed")
