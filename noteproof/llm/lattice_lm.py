@@ -168,9 +168,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
 class PieceTable:
     """Substring hash to piece number (-1: none), for pieces inside a word or at its end.
 
-    One probe of a large table, and one of a small table of the pieces that found their slot taken."""
+    One probe of a large table, then of small ones, each for the pieces that found their slot taken in the one before."""
 
-    BITS, MORE = 22, 12
+    BITS = (20, 14, 10)
 
     def __init__(self, pieces: list[bytes], numbers: list[int]):
         keys = np.zeros(len(pieces), np.uint64)
@@ -180,25 +180,25 @@ class PieceTable:
                 h = (h * int(_BASE) + b + 1) & ((1 << 64) - 1)
             keys[k] = h
         numbers = np.array(numbers, np.int32)
-        first = np.unique(self._slot(keys, self.BITS), return_index=True)[1]
-        rest = np.setdiff1d(np.arange(len(keys)), first)
-        while len(np.unique(self._slot(keys[rest], self.MORE))) < len(rest):
-            self.MORE += 1
-        self.tables = []
-        for chosen, bits in ((first, self.BITS), (rest, self.MORE)):
-            key, number, slot = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), self._slot(keys[chosen], bits)
-            key[slot], number[slot] = keys[chosen], numbers[chosen]
+        self.tables, left = [], np.arange(len(keys))
+        while len(left):
+            bits = self.BITS[min(len(self.tables), len(self.BITS) - 1)]
+            slot = self._slot(keys[left], len(self.tables), bits)
+            first = np.unique(slot, return_index=True)[1]
+            key, number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            key[slot[first]], number[slot[first]] = keys[left[first]], numbers[left[first]]
             self.tables.append((key, number, bits))
+            left = np.delete(left, first)
 
     @staticmethod
-    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return (mixed(keys) >> np.uint64(64 - bits)).astype(np.int64)
+    def _slot(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        # another hash at each level, so that what met once is unlikely to meet again
+        return (mixed(keys + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        full = mixed(keys)
         out = np.full(keys.shape, -1, np.int32)
-        for key, number, bits in self.tables:
-            slot = (full >> np.uint64(64 - bits)).astype(np.int64)
+        for level, (key, number, bits) in enumerate(self.tables):
+            slot = self._slot(keys, level, bits)
             hit = key[slot] == keys
             out[hit] = number[slot[hit]]
         return out
