@@ -322,18 +322,20 @@ def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRA
     return found.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
-def _cut_out(docs: DataFrame, length: int, gram: int, *, as_text: bool) -> DataFrame:
-    """row (the document's own columns but text), n_bytes, n_removed, n_spans, kept: the bytes left, or as text without characters cut apart."""
-    # stored, so that numbers stay with their rows
+def _cut_out(docs: DataFrame, length: int, gram: int, *, as_text: bool, stored: bool) -> DataFrame:
+    """row (the document's own columns), n_bytes, n_removed, n_spans, kept: the bytes left, or as text without characters cut apart.
+
+    Rows are numbered by their place, so ``docs`` must be read again in the same places: a stored table's scan is; any
+    other frame is written once first."""
+    if not stored:
+        docs = materialize(docs.sparkSession, docs, "documents", compression="zstd")
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    numbered = materialize(docs.sparkSession, numbered, "numbered", compression="zstd")
     spans = repeated_spans(numbered, length=length, gram=gram)
-    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data, kept, end, removed, n = _bytes_of(text), [], 0, 0, 0
                 for a, b in sorted((s["from"], s["to"]) for s in spans or ()):
                     if a > end or not n:
@@ -351,20 +353,22 @@ def _cut_out(docs: DataFrame, length: int, gram: int, *, as_text: bool) -> DataF
             kinds = [*[pa.int64()] * 3, pa.string() if as_text else pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    packed = F.struct(*[F.col("row")[c].alias(c) for c in rest]).alias("row")
-    joined = numbered.join(spans, "rid", "left").select(packed, F.col("row.text").alias("text"), "spans")
+    # whole rows, so that this join and the readers of the texts share one exchange
+    joined = numbered.join(spans, "rid", "left").select("row", "spans")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
-    cut = _cut_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, as_text=False)
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, stored: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes left). ``stored``: docs is the scan of a stored table."""
+    cut = _cut_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, as_text=False, stored=stored)
     return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def deduplicated(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated strings cut out of text (characters cut apart go too) and n_chars, if any, counted anew."""
-    left = _cut_out(docs, length, GRAM, as_text=True)
+def deduplicated(docs: DataFrame, *, length: int = LENGTH, stored: bool = False) -> DataFrame:
+    """The documents with repeated strings cut out of text (characters cut apart go too) and n_chars, if any, counted anew.
+
+    ``stored``: docs is the scan of a stored table."""
+    left = _cut_out(docs, length, GRAM, as_text=True, stored=stored)
     columns = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return left.select(*[columns[c].alias(c) for c in docs.columns])
