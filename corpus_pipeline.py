@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of repeated 200-byte strings; characters cut apart go too."""
     ship(spark)
-    return suffix_dedup.deduplicated(docs)
+    return suffix_dedup.deduplicated(docs, stored=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
