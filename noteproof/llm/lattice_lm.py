@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import materialize, text_or_empty
+from .common import drop_materialized, materialize, text_or_empty
 from .shingles import mixed
 from .tokens import byte_symbols, vocabulary_file
 
@@ -295,11 +295,12 @@ def load_lattice(path: str) -> Lattice:
 def score_documents(docs: DataFrame, path: str, *, fold: int = FOLD, prior: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
-    chunks = materialize(spark, chunk_texts(docs, fold), "chunks")
+    chunks = materialize(spark, chunk_texts(docs, fold), "chunks", compression="zstd")
     words = materialize(
         spark,
         chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"), F.count(F.lit(1)).alias("chunks")),
         "words",
+        compression="zstd",
     )
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = chunks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
@@ -313,7 +314,8 @@ def score_documents(docs: DataFrame, path: str, *, fold: int = FOLD, prior: floa
         for listed, rows in _gathered(batches):
             yield from rows.append_column("lp", pa.array(score(listed, logs) + on_log)).to_batches()
 
-    scored = materialize(spark, words.select("word", "c", "chunks").mapInArrow(lattice, "word string, c long, chunks long, lp double"), "scored")
+    scored = materialize(spark, words.select("word", "c", "chunks").mapInArrow(lattice, "word string, c long, chunks long, lp double"), "scored", compression="zstd")
+    drop_materialized(spark, words)
     common = F.broadcast(scored.where("chunks > 1").orderBy(F.desc("chunks"), "word").limit(COMMON).select("word", "c", "lp"))  # COMMON rows at most
     needed = chunks.select("chunk", F.posexplode("words").alias("pos", "word"))
     known = needed.join(common, "word").unionByName(needed.join(common, "word", "left_anti").join(scored.select("word", "c", "lp"), "word"))
