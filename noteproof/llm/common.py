@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
@@ -56,6 +56,17 @@ def materialize(spark: SparkSession, df: DataFrame, what: str, **options: str) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def range_numbered(spark: SparkSession, df: DataFrame, order: list[Column], what: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (of it the columns ``keep``) dealt into sorted ranges and stored, with ``part`` (range, in order) and ``place`` (row within it, from 0).
+
+    Rows of one key may lie in several ranges; a row's number among all is its place and the sizes of earlier ranges."""
+    keep = keep or df.columns
+    sorted_ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = materialize(spark, sorted_ranges.select(*keep, F.monotonically_increasing_id().alias("_at")), what)
+    low = F.lit((1 << 33) - 1).cast("long")
+    return held.select(*keep, F.shiftright("_at", 33).cast("int").alias("part"), F.col("_at").bitwiseAND(low).alias("place"))
+
+
 def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables written by :func:`materialize` once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

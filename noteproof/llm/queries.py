@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html_text, lattice_lm, near_dedup, packing, quality, suffix_dedup, token_files, toxicity
+from . import bpe, embeddings, html_text, lattice_lm, near_dedup, oracles, packing, piece_bpe, prefix_trie, quality, resampling, suffix_dedup, token_files, toxicity
 from .common import checkpoint_root, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Looked up where it is read, on driver and workers.
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL: list[Query] = [op1_bpe_round_trip, op2_html_extraction, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing, op8_lm_scoring, op9_toxicity, op10_near_dedup]
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 9
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"), head, conv_id - conv_id % 5)
+
+
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = piece_bpe.decode_documents(piece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL: list[Query] = [
+    op1_bpe_round_trip, op2_html_extraction, op3_suffix_dedup, op4_embedding_near_dedup, op5_quality_rules, op6_token_files, op7_packing,
+    op8_lm_scoring, op9_toxicity, op10_near_dedup, op11_prefix_trie, op12_piece_round_trip, op13_importance_resampling,
+]
 
 
 def _shipped(query: Query) -> Query:
@@ -84,4 +109,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": oracles.PREFIX_TRIE, "op13_importance_resampling": oracles.RESAMPLING}
