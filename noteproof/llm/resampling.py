@@ -39,11 +39,12 @@ def words_of(text: Column) -> Column:
 def bucket_arrays(words: Column, grams: int, buckets: int) -> Column:
     """The bucket of each run of 1 to ``grams`` words."""
     hashed = lambda f: (F.crc32(f.cast("binary")) % buckets).cast("int")
-    parts = [F.transform(words, hashed)]
-    for n in range(2, grams + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: hashed(F.array_join(F.slice(words, i, F.lit(n)), " "))))
-    return F.concat(*parts)
+        return F.transform(starts, lambda i: hashed(F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+    return F.concat(F.transform(words, hashed), *[runs(n) for n in range(2, grams + 1)])
 
 
 def bucket_counts(texts: DataFrame, grams: int, buckets: int) -> list[int]:
