@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
@@ -67,6 +67,17 @@ def range_numbered(spark: SparkSession, df: DataFrame, order: list[Column], what
     return held.select(*keep, F.shiftright("_at", 33).cast("int").alias("part"), F.col("_at").bitwiseAND(low).alias("place"))
 
 
+def row_numbers(scan: DataFrame, name: str) -> DataFrame:
+    """The scan of a stored table with a unique number of each row, made of its file's place among all files and its row within it.
+
+    The number is the same whenever and however the table is read; how a reader splits the files has no part in it.
+    Files are numbered by path: one broadcast row per file."""
+    at = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = at.select("_file").distinct().withColumn("_place", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    number = F.shiftleft("_place", 40).bitwiseOR(F.col("_row")).alias(name)
+    return at.join(F.broadcast(files), "_file").select(*[F.col(f"`{c}`") for c in scan.columns], number)
+
+
 def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables written by :func:`materialize` once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

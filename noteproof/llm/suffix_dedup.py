@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, row_numbers, shuffle_partitions
 from .shingles import _powers, mixed
 
 LENGTH = 200
@@ -325,11 +325,12 @@ def repeated_spans(numbered: DataFrame, *, length: int = LENGTH, gram: int = GRA
 def _cut_out(docs: DataFrame, length: int, gram: int, *, as_text: bool, stored: bool) -> DataFrame:
     """row (the document's own columns), n_bytes, n_removed, n_spans, kept: the bytes left, or as text without characters cut apart.
 
-    Rows are numbered by their place, so ``docs`` must be read again in the same places: a stored table's scan is; any
+    Rows are numbered by file and row within it. ``stored``: ``docs`` is the scan of a stored table (columns picked at most); any
     other frame is written once first."""
     if not stored:
         docs = materialize(docs.sparkSession, docs, "documents", compression="zstd")
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    numbered = row_numbers(packed, "rid").select("rid", "row")
     spans = repeated_spans(numbered, length=length, gram=gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

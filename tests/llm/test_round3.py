@@ -244,3 +244,17 @@ def test_sql_of_whole_tables(spark, name):
 def test_range_numbers(spark):
     held = common.range_numbered(spark, spark.range(1000).repartition(7), ["id"], "numbers").orderBy("id").collect()
     assert [(r.part, r.place) for r in held] == sorted((r.part, r.place) for r in held)
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id", "repeat(cast(id as string), 50) as text").repartition(2)
+    df.write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/t")
+    found = []
+    for split in ("128m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        scan = spark.read.parquet(f"{tmp_path}/t").select("id")
+        found.append((scan.rdd.getNumPartitions(), {r.id: r.rid for r in common.row_numbers(scan, "rid").collect()}))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0][1] == found[1][1]
+    assert len(set(found[0][1].values())) == 3000
+    assert found[0][0] != found[1][0]
