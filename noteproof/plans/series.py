@@ -50,16 +50,16 @@ def generation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CHECKS}, g AS (SELECT entry, epoch_ms(published_at) - epoch_ms(lag(published_at) OVER (PARTITION BY entry ORDER BY published_at, tag)) AS ms FROM checks)
-SELECT entry, count(ms) AS gaps, ((2 * median(ms))::BIGINT * 10 + 864) // 1728 / 1000000.0::DOUBLE AS median_days, (2 * max(ms) * 10 + 864) // 1728 / 1000000.0::DOUBLE AS longest FROM g GROUP BY entry
+WITH {_CHECKS}, g AS (SELECT entry, epoch_us(published_at) - epoch_us(lag(published_at) OVER (PARTITION BY entry ORDER BY published_at, tag)) AS us FROM checks)
+SELECT entry, count(us) AS gaps, ((2 * median(us))::BIGINT + 86400) // 172800 / 1000000.0::DOUBLE AS median_days, (2 * max(us) + 86400) // 172800 / 1000000.0::DOUBLE AS longest FROM g GROUP BY entry
 """)
 def cadence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps in days, to six places; rounded on whole half milliseconds, so that no binary fraction decides a half."""
-    at = F.unix_millis(F.col("published_at").cast("timestamp"))
+    """Gaps in days, to six places; rounded on whole half microseconds, so that no binary fraction decides a half."""
+    at = F.unix_micros(F.col("published_at").cast("timestamp"))
     gap = at - F.lag(at).over(Window.partitionBy("entry").orderBy(*ORDER))
-    days = lambda twice: F.floor((twice * 10 + 864) / 1728) / 1000000.0
-    gaps = adapt.checks(spark, sf_dir).select("entry", gap.alias("ms")).groupBy("entry").agg(F.count("ms").alias("gaps"), F.median("ms").alias("median"), F.max("ms").alias("longest"))
-    return gaps.select("entry", "gaps", days((2 * F.col("median")).cast("long")).alias("median_days"), days(2 * F.col("longest")).alias("longest"))
+    days = lambda twice: F.expr(f"({twice} + 86400) div 172800") / 1000000.0
+    gaps = adapt.checks(spark, sf_dir).select("entry", gap.alias("us")).groupBy("entry").agg(F.count("us").alias("gaps"), F.median("us").alias("median"), F.max("us").alias("longest"))
+    return gaps.select("entry", "gaps", days("cast(2 * median as bigint)").alias("median_days"), days("2 * longest").alias("longest"))
 
 
 @query(f"""
