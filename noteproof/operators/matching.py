@@ -23,6 +23,33 @@ def anchors(claims: DataFrame, commits: DataFrame) -> DataFrame:
     return by_number.unionByName(by_sha.select("claim", "sha", F.lit("sha").alias("via"))).distinct()
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame, on: list[str], *, least: int = 4) -> DataFrame:
+    """Rows of ``left`` (``on``, a, ...) with those of ``right`` (``on``, b, ...) where a is a prefix of b or b of a; both have ``least`` characters or more.
+
+    Either side is cut to the lengths that the other side has - a few, as many as there are lengths of ids - and
+    cuts meet whole values by equality."""
+    lengths = lambda df, c: sorted(n for (n,) in df.select(F.length(c)).distinct().collect() if n is not None and n >= least)
+    cuts = lambda c, at: F.explode(F.filter(F.array(*[F.when(F.length(c) >= n, F.substring(c, 1, n)) for n in at]), lambda x: x.isNotNull()))
+    of_left, of_right = lengths(left, "a"), lengths(right, "b")
+    shorter = right.withColumn("_cut", cuts("b", of_left)).join(left.withColumn("_cut", F.col("a")), [*on, "_cut"]) if of_left else None
+    # equal values are among the first pairs
+    longer = left.withColumn("_cut", cuts("a", of_right)).where("_cut <> a").join(right.withColumn("_cut", F.col("b")), [*on, "_cut"]) if of_right else None
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    if shorter is None or longer is None:
+        return left.join(right, on).where("false").select(*columns)
+    return shorter.select(*columns).unionByName(longer.select(*columns))
+
+
+def merge_anchors(claims: DataFrame, merges: DataFrame, commits: DataFrame, first: int = 5) -> DataFrame:
+    """release, claim, sha: commits that merged one of the first ``first`` numbers of a claim, by what a forge says of numbers.
+
+    claims: release, claim, pr_numbers; merges: release, number, merged (the merge's sha, cut or whole; null where the forge knew none); commits: release, sha, cut or whole."""
+    asked = claims.select("release", "claim", F.explode(F.slice("pr_numbers", 1, first)).alias("number"))
+    named = asked.join(merges.where("merged is not null"), ["release", "number"]).select("release", "claim", F.col("merged").alias("a"))
+    found = prefix_pairs(named, commits.select("release", F.col("sha").alias("b")), ["release"])
+    return found.select("release", "claim", F.col("b").alias("sha")).distinct()
+
+
 #: What terms of plain needles are made of; each lies inside one maximal run of these.
 RUN = r"[A-Za-z0-9_.\-]+"
 
