@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ledgers
+
 LEDGER = "entry long, cursor_tag long, checked long, top_label string"
 
 
@@ -37,10 +39,7 @@ def run_ledger(spark: SparkSession, source: str, schema: str, name: str, checkpo
     return spark.table(name)
 
 
-def alerts(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, *, below: int = 45, lateness: str = "90 days") -> None:
-    """Checks scored under ``below``, each (entry, tag) written once however often it is delivered.
-
-    A repeated delivery is known for ``lateness`` of published time, after which its state is let go."""
+def alerts(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, *, below: int = 45, kept: int = ledgers.ALERTS_KEPT) -> None:
+    """Checks scored under ``below``, each (entry, tag) written once however often and however late it is delivered (``ledgers.SentAlerts``)."""
     checks = spark.readStream.schema(schema).parquet(source)
-    seen = checks.where(F.col("score") < below).withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["entry", "tag"])
-    seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    ledgers.replay(ledgers.alerts(checks, below=below, kept=kept), out, checkpoint)

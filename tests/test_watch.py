@@ -1,8 +1,9 @@
 """The watch state on worked examples, and the stream against its batch twin."""
 
 import datetime as dt
+import random
 
-from noteproof.streaming import ledger, watch
+from noteproof.streaming import ledger, ledgers, watch
 from pyspark.sql import functions as F
 
 
@@ -65,7 +66,43 @@ def test_alerts_once(spark, tmp_path):
     schema = "entry long, tag long, published_at timestamp, score long"
     spark.createDataFrame([(1, t, base, s) for t, s in ((1, 10), (1, 10), (2, 80), (3, 44))], schema).write.parquet(str(tmp_path / "in"))
     ledger.alerts(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(r.tag for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+    assert sorted(r.tag for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "3"]
+
+
+def test_late_alerts_are_sent_and_memory_is_bounded(spark, tmp_path):
+    schema = "entry long, tag long, published_at timestamp, score long"
+    late, new = dt.datetime(2024, 1, 1), dt.datetime(2026, 1, 1)
+    batches = [[(1, 1, new, 10)], [(1, 2, late, 10), (2, 1, late, 20), (1, 1, new, 10), (1, 9, None, 1)], [(1, 2, late, 10), (1, 3, late, 90)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ledger.alerts(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted((r.entry, r.tag) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "1"), (1, "2"), (1, "9"), (2, "1")]
+
+
+def test_author_ledger_stream_equals_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(e, o, f"v{o}", f"k{k}", f"N{k}.{o}", 1 + (k * o) % 4) for e in (1, 2) for o in range(1, 9) for k in range(6) if rng.random() < 0.6]
+    told = rows + rows[:7]
+    rng.shuffle(told)
+    df = spark.createDataFrame(rows, ledgers.ACTIVITY)
+    for k in range(3):
+        spark.createDataFrame(told[k::3], ledgers.ACTIVITY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ledgers.ACTIVITY).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ledgers.replay(ledgers.author_changes(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, ledgers.latest(changes).collect())) == sorted(map(tuple, ledgers.author_totals(df).collect()))
+    assert changes.where("evicted").count() == 0
+    assert changes.agg(F.max("version")).first()[0] == 3
+
+
+def test_author_ledger_lets_go_and_says_so(spark, tmp_path):
+    rows = [(1, o, f"v{o}", f"k{o}", "n", o) for o in range(1, 5)]
+    for r in rows:
+        spark.createDataFrame([r], ledgers.ACTIVITY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ledgers.ACTIVITY).parquet(str(tmp_path / "in"))
+        ledgers.replay(ledgers.author_changes(stream, cap=2), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.version, r.key, r.evicted) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "k1", False), (2, "k2", False), (3, "k3", True), (4, "k4", True)]
 
 
 RELEASES = "entry long, tag string, published_at long, draft boolean, prerelease boolean"
