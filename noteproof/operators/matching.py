@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -88,14 +94,78 @@ def lexical_scores(hits: DataFrame, keys: list[str], weight: Column) -> DataFram
     return hits.select(*keys, "term").distinct().groupBy(*keys).agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("terms"))
 
 
+#: Needle rows that are sent to every task as one automaton; of more, texts and needles meet by joins.
+SMALL = 200_000
+
+
+def _search(rows: list[tuple], bar: int):
+    """A function from texts to (text, needle) pairs: place of the text, needle, score, terms; all terms of all needles are looked up in one pass over a text."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    names: dict = {}
+    for needle, term, weight in rows:
+        postings.setdefault(term, []).append((names.setdefault(needle, len(names)), weight))
+    by_name = list(names)
+    held = [tuple(np.array(x, np.int64) for x in zip(*p, strict=True)) for p in postings.values()]
+    automaton = ahocorasick.Automaton()
+    for k, term in enumerate(postings):
+        automaton.add_word(term, k)
+    automaton.make_automaton()
+
+    def run(texts: list[str | None]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+        for at, text in enumerate(texts):
+            found = {k for _, k in automaton.iter(text)} if text else ()
+            if not found:
+                continue
+            needles, weights = (np.concatenate([held[k][c] for k in found]) for c in (0, 1))
+            score, terms = np.bincount(needles, weights, len(by_name)).astype(np.int64), np.bincount(needles, minlength=len(by_name))
+            kept = np.flatnonzero(score >= bar)
+            yield at, [by_name[k] for k in kept.tolist()], score[kept], terms[kept]
+
+    return run
+
+
+def scored_pairs(texts: DataFrame, needles: DataFrame, text_key: str, needle_key: str, bar: int) -> DataFrame:
+    """text_key, needle_key, score, terms: needles whose distinct terms that a text holds weigh ``bar`` (1 or more) together.
+
+    texts: text_key, text; needles: needle_key, term (made of [A-Za-z0-9_.-] only), weight, distinct. Up to ``SMALL`` rows of needles go to all tasks and each
+    text is read once, with no exchange; more of them meet the texts' runs by joins (``contained_terms``)."""
+    asked = needles.select(needle_key, "term", F.col("weight").cast("int").alias("weight")).where("length(term) >= 3").distinct()
+    small = asked.limit(SMALL + 1).collect()
+    if len(small) > SMALL:
+        hits = contained_terms(texts, asked, text_key, needle_key).join(asked, [needle_key, "term"])
+        scored = hits.groupBy(text_key, needle_key).agg(F.sum("weight").cast("long").alias("score"), F.count(F.lit(1)).alias("terms"))
+        return scored.where(F.col("score") >= bar)
+    rows, kinds = [tuple(r) for r in small], [texts.schema[text_key].dataType.simpleString(), asked.schema[needle_key].dataType.simpleString()]
+    needle_type = to_arrow_type(asked.schema[needle_key].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _search(rows, bar) if rows else None
+        for batch in batches:
+            places, found, scores, terms = [], [], [], []
+            for at, who, score, n in search(batch.column(1).to_pylist()) if search else ():
+                places += [at] * len(who)
+                found += who
+                scores.append(score)
+                terms.append(n)
+                if len(places) > 500_000:
+                    yield _pairs(batch, places, found, scores, terms)
+                    places, found, scores, terms = [], [], [], []
+            if places:
+                yield _pairs(batch, places, found, scores, terms)
+
+    def _pairs(batch: pa.RecordBatch, places: list[int], found: list, scores: list[np.ndarray], terms: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, needle_type), pa.array(np.concatenate(scores)), pa.array(np.concatenate(terms))]
+        return pa.RecordBatch.from_arrays(columns, [text_key, needle_key, "score", "terms"])
+
+    return texts.select(text_key, "text").mapInArrow(run, f"{text_key} {kinds[0]}, {needle_key} {kinds[1]}, score long, terms long")
+
+
 def confirmed_pairs(findings: DataFrame, claims: DataFrame, finding_key: str, claim_key: str, bar: int = 3) -> DataFrame:
     """finding_key, claim_key, score: claims whose terms lie in a finding's text with a weight of ``bar`` or more.
 
     findings: finding_key, text; claims: claim_key, term, spanned (the term is a code span: 3, else 2)."""
-    hits = contained_terms(findings, claims.select(claim_key, "term"), finding_key, claim_key)
-    weight = F.when(F.col("spanned"), 3).otherwise(2)
-    scored = hits.join(claims.select(claim_key, "term", "spanned"), [claim_key, "term"]).groupBy(finding_key, claim_key).agg(F.sum(weight).alias("score"))
-    return scored.where(F.col("score") >= bar)
+    weighed = claims.select(claim_key, "term", F.when(F.col("spanned"), 3).otherwise(2).alias("weight"))
+    return scored_pairs(findings, weighed, finding_key, claim_key, bar).select(finding_key, claim_key, "score")
 
 
 def breadth_covered(files: DataFrame, mentions: DataFrame) -> DataFrame:

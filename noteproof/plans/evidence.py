@@ -43,8 +43,8 @@ FROM documents JOIN t ON contains(text, term) GROUP BY doc_id, item_id HAVING sc
 """)
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = adapt.table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    hits = matching.contained_terms(adapt.table(spark, sf_dir, "documents").select("doc_id", "text"), needles.distinct(), "doc_id", "item_id")
-    return matching.lexical_scores(hits, ["doc_id", "item_id"], T.term_weight(F.col("term"), F.array().cast("array<string>"))).where("score >= 2")
+    weight = T.term_weight(F.col("term"), F.array().cast("array<string>"))
+    return matching.scored_pairs(adapt.table(spark, sf_dir, "documents"), needles.withColumn("weight", weight), "doc_id", "item_id", 2)
 
 
 @query(f"""

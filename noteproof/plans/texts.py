@@ -10,6 +10,7 @@ from ..functions import repair
 from ..functions import text as T
 from ..operators import matching
 from ..registry import query
+from ..stored import stored
 from ..sources import notes
 from ..streaming import ledger
 from .sql import TERMS_SQL
@@ -75,7 +76,8 @@ def reconcile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, findings = adapt.table(spark, sf_dir, "benchmark"), adapt.table(spark, sf_dir, "documents")
     asked = claims.select("item_id", T.code_spans(F.col("text")).alias("spans"), F.explode(T.terms(F.col("text"))).alias("term"))
     asked = asked.select("item_id", "term", F.array_contains("spans", F.col("term")).alias("spanned"))
-    paired = matching.confirmed_pairs(findings.select("doc_id", "text"), asked, "doc_id", "item_id")
+    # three branches read the pairs, of which they need the keys
+    paired = stored(matching.confirmed_pairs(findings.select("doc_id", "text"), asked, "doc_id", "item_id").select("doc_id", "item_id"), "pairs")
     count = lambda name, df: df.agg(F.lit(name).alias("state"), F.count(F.lit(1)).alias("n"))
     return (
         count("confirmed", paired)
