@@ -156,8 +156,8 @@ _IDIOMS = [
     'x := os.Getenv("VAR_#")', "process.env.VAR_#", "process.env['VAR_#']", 'env::var("VAR_#")', "os.environ['VAR_#']", "os.getenv('VAR_#')", "ENV.fetch('VAR_#')", 'A string `env:"VAR_#;OTHER_#"`', "no VAR_# read", "getenv(VAR_#)",
 ]
 _IDIOMS_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _IDIOMS) + "]"
-_READS_SQL = "list_concat(" * (len(substance.ENV_READS) - 1) + "".join(
-    ("" if k == 0 else ", ") + "regexp_extract_all(line, '" + p.replace("'", "''") + "', 1)" + ("" if k == 0 else ")") for k, p in enumerate(substance.ENV_READS)
+_READS_SQL = "list_concat(" * (len(substance.ENV_GROUPS) - 1) + "".join(
+    ("" if k == 0 else ", ") + "regexp_extract_all(line, '" + p.replace("'", "''") + f"', {g})" + ("" if k == 0 else ")") for k, (p, g) in enumerate(substance.ENV_GROUPS)
 )
 
 
