@@ -1,14 +1,17 @@
-"""Queries on what is read of a release, on fronts, histories and stored reports."""
+"""Queries on what is read of a release, on fronts, histories, stored reports and cached answers."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import adapt
 from ..functions import text as T
-from ..operators import findings, lineage, skyline
+from ..operators import cache, findings, lineage, skyline
 from ..registry import query
+from ..stored import folder
 from .sql import SHAPES, SHAPES_SQL, category_sql, sensitive_sql
 
 BUDGET = 70_000
@@ -119,3 +122,23 @@ def report_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = lineage.compare_reports(reports(0.03, 0.06, 11), reports(0.02, 0.07, 13), ["report"], ["added", "removed"])
     return found.select("report", "where", "moved", *[F.array_join(c, ",").alias(c) for c in ("added_gone", "added_new", "removed_gone", "removed_new")])
+
+
+@query("""
+WITH k AS (SELECT source, n_chars, text, lang FROM documents), first AS (SELECT DISTINCT lang, n_chars, source, text FROM k WHERE lang = 'en'), every AS (SELECT DISTINCT lang, n_chars, source, text FROM k)
+SELECT 1 AS run, (SELECT count(*) FROM k WHERE lang = 'en') AS asked, 0 AS hits, (SELECT count(*) FROM first) AS computed, (SELECT count(*) FROM first) AS kept
+UNION ALL SELECT 2, (SELECT count(*) FROM k), (SELECT count(*) FROM k WHERE lang = 'en'), (SELECT count(*) FROM every) - (SELECT count(*) FROM first), (SELECT count(*) FROM every)
+""")
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over a cache, the second of which finds what the first one asked and computes the misses only."""
+    path = f"{folder(spark)}/noteproof/answers-{uuid.uuid4().hex}"
+    docs = adapt.table(spark, sf_dir, "documents").select(cache.fingerprint("lang", "n_chars", "source", "text").alias("key"), "lang", "text")
+    size = lambda misses: misses.select("key", F.length(F.coalesce("text", F.lit(""))).cast("string").alias("value"))
+    out = None
+    for run, asked in ((1, docs.where("lang = 'en'")), (2, docs)):
+        rows, misses = cache.answered(asked, path, "v1", f"run-{run}", size)
+        kept = cache.histogram(cache.read(spark, path)).agg(F.sum("answers").alias("kept"))
+        told = rows.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("asked"), F.count_if("cached").alias("hits"), F.lit(misses.count()).cast("long").alias("computed"))
+        told = told.withColumn("kept", F.lit(kept.first()[0]).cast("long"))
+        out = told if out is None else out.unionByName(told)
+    return out

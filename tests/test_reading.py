@@ -3,7 +3,7 @@
 import itertools
 
 import numpy as np
-from noteproof.operators import coverage, findings, lineage, skyline
+from noteproof.operators import cache, coverage, findings, lineage, skyline
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,42 @@ def test_bucket_rates(spark):
     df = spark.createDataFrame(list(itertools.product("ab", range(4))), "bucket string, n long")
     got = {r.bucket: (r.n, r.fired, r.rate) for r in coverage.bucket_rates(df, F.col("bucket"), (F.col("bucket") == "a") & (F.col("n") < 1)).collect()}
     assert got == {"a": (4, 1, 0.25), "b": (4, 0, 0.0)}
+
+
+def test_cache_computes_misses_once(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/c", []
+
+    def compute(misses):
+        calls.append(sorted(r.key for r in misses.collect()))
+        return misses.select("key", F.concat(F.lit("a"), "key").alias("value"))
+
+    ask = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    rows, _ = cache.answered(ask("x", "y", "x"), path, "v/1", "one", compute)
+    assert sorted(map(tuple, rows.collect())) == [("x", "ax", False), ("x", "ax", False), ("y", "ay", False)]
+    rows, _ = cache.answered(ask("y", "z"), path, "v/1", "two", compute)
+    assert sorted(map(tuple, rows.collect())) == [("y", "ay", True), ("z", "az", False)]
+    rows, _ = cache.answered(ask("y"), path, "v/2", "three", compute)
+    assert [tuple(r) for r in rows.collect()] == [("y", "ay", False)]
+    assert calls == [["x", "y"], ["z"], ["y"]]
+    assert sorted(map(tuple, cache.histogram(cache.read(spark, path)).collect())) == [("v-1", 3, 3, 6), ("v-2", 1, 1, 2)]
+    assert cache.collect_versions(spark, path, "v/2") == ["v-1"]
+    assert [r.key for r in cache.read(spark, path).collect()] == ["y"]
+    # a run told again takes its own place
+    cache.keep(ask("y").withColumn("value", F.lit("b")), path, "v/2", "three")
+    assert [(r.key, r.value) for r in cache.read(spark, path).collect()] == [("y", "b")]
+
+
+def test_cache_of_a_stream(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(f"k{k}", "v"), ("k0", f"w{k}")], "key string, value string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, value string").parquet(f"{tmp_path}/in")
+        cache.stream_into(stream, f"file://{tmp_path}/c", "1", f"{tmp_path}/cp")
+    held = cache.read(spark, f"file://{tmp_path}/c")
+    assert sorted((r.run, r.key) for r in held.collect()) == [("batch-0", "k0"), ("batch-0", "k0"), ("batch-1", "k0"), ("batch-1", "k1"), ("batch-2", "k0"), ("batch-2", "k2")]
+    assert cache.histogram(held).first().answers == 3
+
+
+def test_fingerprints_tell_nulls_apart(spark):
+    df = spark.createDataFrame([(None, "a"), ("", "a"), ("null", "a"), ("a", None), ("a", "a")], "x string, y string")
+    assert df.select(cache.fingerprint("y", "x").alias("k")).distinct().count() == 5
+    assert df.select((cache.fingerprint("x", "y") == cache.fingerprint("y", "x")).alias("e")).where("e").count() == 5
