@@ -9,8 +9,8 @@ on the executors and no shuffle of text.
   (``max_trusted``, smallest hashes of doc_id first, so the sample is stable).
 * A document scores the mean log ratio of its n-grams; it is kept from ``threshold`` upwards.
 
-Defined results: null or empty text has no words, fails the base rules and scores null; repeated
-rows are scored alike and all returned; a null doc_id is scored but never trusted; an empty table
+Defined results: null or empty text has no words, fails the base rules and scores null; texts of any
+length are read whole; repeated rows are scored alike and all returned; a null doc_id is scored but never trusted; an empty table
 gives an empty result; without trusted labels all weights are 0, so the base rules alone decide.
 Columns of the input other than doc_id and text never take part, whatever their names.
 """
