@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import adapt
-from ..operators import history
+from ..operators import history, longview
 from ..registry import query
+from ..stored import stored
 from ..streaming import watch
 
 _CHECKS = "checks AS (SELECT user_id AS entry, event_id AS tag, ts AS published_at, least(100, floor(value))::BIGINT AS score, event_type AS label, (event_type = 'error')::INT AS unjudged FROM events)"
@@ -202,3 +203,86 @@ def watch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("exit_code"), F.lit(0).cast("long").alias("critical"), F.col("unjudged").cast("long").alias("unjudged"), F.lit(0).cast("long").alias("rule_hits"),
     )
     return watch.decisions(runs).select("entry", "tag", "level", "drifted", "flagged")
+
+
+# Phases by a recursion from phase to phase: every later place is judged by what stands before it in the open phase and what follows it.
+_PHASES = f"""{_CHECKS},
+b AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY published_at, tag) - 1 AS pos, count(*) OVER w AS n, median(score) OVER w AS m,
+      sum(1 - unjudged) OVER (PARTITION BY entry ORDER BY published_at, tag) AS miss FROM checks WINDOW w AS (PARTITION BY entry ORDER BY published_at, tag ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+v AS (SELECT entry, tag, published_at, pos, score, label, label AS top, score / 128.0::DOUBLE AS share, (epoch_us(published_at) // 3600000000)::DOUBLE AS day,
+      n >= 3 AND coalesce(score <= round(m) - 20, false) AS flagged, sum(unjudged) OVER (PARTITION BY entry, miss ORDER BY pos) AS streak FROM b),
+c AS (SELECT *, CASE WHEN streak >= 2 THEN streak ELSE 0 END AS critical, CASE WHEN lag(label) OVER (PARTITION BY entry ORDER BY pos) = 'signup' AND label = 'purchase' THEN 1 ELSE 0 END AS broken,
+      count(*) OVER (PARTITION BY entry, date_trunc('day', published_at)) AS authors FROM v),
+l AS (SELECT entry, list(score::DOUBLE ORDER BY pos) AS sc, list(top ORDER BY pos) AS tp, list(share ORDER BY pos) AS sh, list(day ORDER BY pos) AS dy, count(*) AS n FROM c GROUP BY entry),
+g AS (SELECT *, list_transform(range(1, n), lambda k: dy[k + 1] - dy[k]) AS ga FROM l),
+ph AS (SELECT entry, 0::BIGINT AS pos, 0::BIGINT AS phase, []::STRUCT(kind VARCHAR, old VARCHAR, new VARCHAR)[] AS reasons FROM l
+  UNION ALL SELECT entry, (x.i + coalesce(CASE
+      WHEN x.r1 THEN list_position(list_transform(x.asc_, lambda v: abs(v - x.l1) <= abs(v - x.l0)), true) WHEN x.r2 THEN list_position(x.atp, x.t1)
+      WHEN x.r3 THEN list_position(list_transform(x.ash, lambda v: abs(v - x.h1) <= abs(v - x.h0)), true) END, 1) - 1)::BIGINT, phase + 1, list_filter([
+      CASE WHEN x.r1 THEN {{'kind': 'level', 'old': floor(x.l0 + 0.5)::BIGINT::VARCHAR, 'new': floor(x.l1 + 0.5)::BIGINT::VARCHAR}} END,
+      CASE WHEN x.r2 THEN {{'kind': 'author', 'old': x.t0, 'new': x.t1}} END,
+      CASE WHEN x.r3 THEN {{'kind': 'share', 'old': floor(x.h0 * 100 + 0.5)::BIGINT || '%', 'new': floor(x.h1 * 100 + 0.5)::BIGINT || '%'}} END,
+      CASE WHEN x.r4 THEN {{'kind': 'cadence', 'old': floor(x.g0 + 0.5)::BIGINT::VARCHAR, 'new': floor(x.g1 + 0.5)::BIGINT::VARCHAR}} END], lambda r: r IS NOT NULL)
+    FROM (SELECT entry, phase, arg_min(k, i) AS x FROM (
+        SELECT *, abs(l1 - l0) >= 20 AS r1, t0 <> t1 AND len(list_filter(atp, lambda v: v = t1)) >= 2 AS r2, abs(h1 - h0) >= 0.35 AS r3, least(g0, g1) >= 1 AND greatest(g0, g1) >= 3 * least(g0, g1) AS r4
+        FROM (SELECT entry, phase, i, sc[i + 1:i + 3] AS asc_, tp[i + 1:i + 3] AS atp, sh[i + 1:i + 3] AS ash, list_median(sc[greatest(s, i - 5) + 1:i]) AS l0, list_median(sc[i + 1:i + 3]) AS l1,
+            list_aggregate(tp[s + 1:i], 'mode') AS t0, list_aggregate(tp[i + 1:i + 3], 'mode') AS t1, list_median(sh[s + 1:i]) AS h0, list_median(sh[i + 1:i + 3]) AS h1, list_median(ga[s + 1:i - 1]) AS g0, list_median(ga[i:i + 2]) AS g1
+          FROM (SELECT g.*, ph.phase, ph.pos AS s, unnest(range(ph.pos + 3, g.n - 2)) AS i FROM ph JOIN g ON g.entry = ph.entry))) k
+      WHERE r1 OR r2 OR r3 OR r4 GROUP BY entry, phase))"""
+
+
+def _record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every entry: alerts of the series itself, runs of errors as critical flags, a purchase after a signup as a broken promise; hours stand for days.
+
+    Shares are 128ths, so that medians are exact in binary."""
+    rows = history.trailing_streak(history.baseline_level(adapt.checks(spark, sf_dir), *ORDER), F.col("unjudged") > 0, *ORDER)
+    w = Window.partitionBy("entry").orderBy(*ORDER)
+    after_signup = (F.lag("label").over(w) == "signup") & (F.col("label") == "purchase")
+    at = F.col("published_at").cast("timestamp")
+    return rows.select(
+        "entry", "tag", F.row_number().over(w).cast("long").alias("ord"), at.alias("published_at"), "score", "label", F.lit(1).alias("generation"), F.col("label").alias("top"),
+        (F.col("score") / 128.0).alias("share"), F.floor(F.unix_micros(at) / 3600000000).cast("double").alias("day"), F.col("dropped").alias("flagged"),
+        F.when(F.col("streak") >= 2, F.col("streak")).otherwise(0).cast("long").alias("critical"), F.when(after_signup, 1).otherwise(0).cast("long").alias("broken"),
+        F.count(F.lit(1)).over(Window.partitionBy("entry", F.date_trunc("day", at))).alias("authors"),
+    )
+
+
+@query(f"""
+WITH RECURSIVE {_PHASES}, o AS (SELECT c.*, (SELECT max(phase) FROM ph WHERE ph.entry = c.entry AND ph.pos <= c.pos) AS phase FROM c),
+d AS (SELECT *, day - lag(day) OVER (PARTITION BY entry, phase ORDER BY pos) AS gap FROM o),
+s AS (SELECT entry, phase, arg_min(tag, pos) AS from_tag, arg_max(tag, pos) AS to_tag, count(*) AS checks, floor(median(score) + 0.5)::BIGINT AS score, min(score) AS least, max(score) AS most,
+      floor(median(authors) + 0.5)::BIGINT AS authors, floor(median(share) * 100 + 0.5)::BIGINT AS share, floor(median(gap) + 0.5)::BIGINT AS gap_days,
+      count(*) FILTER (flagged) AS flagged, sum(critical)::BIGINT AS critical, sum(broken)::BIGINT AS broken FROM d GROUP BY entry, phase)
+SELECT s.*, array_to_string(list_transform(reasons, lambda r: r.kind || ' ' || r.old || ' ' || r.new), '; ') AS opened FROM s JOIN ph USING (entry, phase)
+""")
+def phase_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of every phase of every series; its SQL finds the phases by a recursion over lists."""
+    checks = stored(_record(spark, sf_dir), "record")
+    rows = longview.phase_stats(checks, stored(history.phase_table(checks), "phases"))
+    opened = F.array_join(F.transform("reasons", lambda r: F.concat_ws(" ", r.kind, r.old, r.new)), "; ")
+    return rows.withColumn("opened", opened).drop("reasons", "from_at", "to_at")
+
+
+@query(f"""
+WITH RECURSIVE {_PHASES}, f AS (SELECT entry, top, arg_min(tag, pos) AS tag FROM c GROUP BY entry, top),
+e AS (SELECT p.entry, p.pos, c.tag, CASE r.kind WHEN 'level' THEN 'level-shift' WHEN 'author' THEN 'top-change' WHEN 'share' THEN 'concentration' ELSE 'cadence' END AS kind,
+        CASE r.kind WHEN 'level' THEN 'score level ' || CASE WHEN TRY_CAST(r.new AS BIGINT) > TRY_CAST(r.old AS BIGINT) THEN 'rose' ELSE 'fell' END || ': ' || r.old || ' → ' || r.new
+          WHEN 'author' THEN 'top author changed: ' || r.old || ' → ' || r.new
+          WHEN 'share' THEN 'commit concentration ' || CASE WHEN TRY_CAST(rtrim(r.new, '%') AS BIGINT) > TRY_CAST(rtrim(r.old, '%') AS BIGINT) THEN 'jumped' ELSE 'spread out' END || ': top identity ' || r.old || ' → ' || r.new
+          ELSE 'release cadence changed: every ~' || r.old || ' days → ~' || r.new || ' days' END AS text
+      FROM (SELECT entry, pos, unnest(reasons) AS r FROM ph) p JOIN c USING (entry, pos)
+  UNION ALL SELECT entry, pos, tag, 'critical', critical || ' critical flag' || CASE WHEN critical > 1 THEN 's' ELSE '' END || ', scored ' || score || ' (' || label || ')' FROM c WHERE critical > 0
+  UNION ALL SELECT entry, pos, tag, 'flagged', 'flagged at ' || score || ' (' || label || ')' FROM c WHERE flagged AND critical = 0
+  UNION ALL SELECT entry, pos, tag, 'broken-promise', '1 promise from earlier notes broken' FROM c WHERE broken > 0
+  UNION ALL SELECT c.entry, pos, c.tag, 'new-top-author', c.top || ', first seen in this release, authored ' || floor(share * 100 + 0.5)::BIGINT || '% of its commits'
+      FROM c JOIN f ON f.entry = c.entry AND f.top = c.top AND f.tag = c.tag WHERE pos > 0 AND share >= 0.5),
+q AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY list_position(['level-shift', 'top-change', 'concentration', 'cadence', 'critical', 'new-top-author', 'broken-promise', 'flagged'], kind), pos) AS best,
+      count(*) OVER (PARTITION BY entry) AS found FROM e)
+SELECT entry, pos, tag, kind, text, row_number() OVER (PARTITION BY entry ORDER BY pos, kind) AS place, found FROM q WHERE best <= 20
+""")
+def event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every series that its report shows, most telling first kept, in the record's order."""
+    checks = stored(_record(spark, sf_dir), "record")
+    first = checks.groupBy("entry", F.col("top").alias("name")).agg(F.min(F.struct("ord", "tag")).getField("tag").alias("first_tag"))
+    found = longview.events(checks, stored(history.phase_table(checks), "phases"), first)
+    return longview.selected_events(stored(found, "events")).drop("published_at")
