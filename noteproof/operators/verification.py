@@ -18,9 +18,14 @@ def parsed_claims(notes: DataFrame, base_notes: DataFrame | None = None) -> Data
     """The claims of notes (release, notes), with ``claim`` (place in the notes) and carried_over: the text stands in the base's notes, too.
 
     base_notes: release, notes - of the release that a release is compared with."""
-    claims = claims_of(notes).withColumnRenamed("id", "claim").withColumn("_key", T.normalized(F.col("text")))
+    return marked_carried(claims_of(notes).withColumnRenamed("id", "claim"), base_notes)
+
+
+def marked_carried(claims: DataFrame, base_notes: DataFrame | None) -> DataFrame:
+    """Parsed claims with carried_over: the text stands in the notes of the release's base."""
     if base_notes is None:
-        return claims.drop("_key").withColumn("carried_over", F.lit(False))
+        return claims.withColumn("carried_over", F.lit(False))
+    claims = claims.withColumn("_key", T.normalized(F.col("text")))
     known = claims_of(base_notes).select("release", T.normalized(F.col("text")).alias("_key"), F.lit(True).alias("carried_over"))
     known = known.where(F.size(F.split("_key", " ")) >= CARRIED_WORDS).distinct()
     return claims.join(known, ["release", "_key"], "left").drop("_key").na.fill(False, ["carried_over"])
@@ -45,8 +50,12 @@ def verify_release(notes: DataFrame, commits: DataFrame, commit_files: DataFrame
 
     notes and base_notes: release, notes; commits: release, sha, subject, pr_numbers; commit_files: release, sha, path, status,
     patch; release_files: release, path, status, patch; merges: release, number, merged."""
+    return verify_claims(stored(parsed_claims(notes, base_notes), "claims"), commits, commit_files, release_files, merges)
+
+
+def verify_claims(parsed: DataFrame, commits: DataFrame, commit_files: DataFrame, release_files: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """The rows of ``verify_release`` for claims that are parsed already; they are read several times."""
     key = ["release", "claim"]
-    parsed = stored(parsed_claims(notes, base_notes), "claims")
     anchors = stored(ladder.all_anchors(parsed, commits, merges), "anchors")
     bumps = settled_bumps(parsed, anchors, commit_files, release_files).select(*key, "bump", "from_check", "via_commit")
     claims = parsed.drop("bump").join(bumps, key, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "series", "evidence", "texts", "verdicts", "reading", "releases")
+MODULES = ("scores", "series", "evidence", "texts", "verdicts", "reading", "releases", "mutants")
 
 
 def load() -> None:
