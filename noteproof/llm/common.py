@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
@@ -56,6 +56,13 @@ def materialize(spark: SparkSession, df: DataFrame, what: str, **options: str) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(spark: SparkSession, df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and how many rows were written: counted by the write itself, with no job of its own."""
+    seen = Observation()
+    held = materialize(spark, df.observe(seen, F.count(F.lit(1)).alias("n")), what)
+    return held, seen.get["n"]
+
+
 def range_numbered(spark: SparkSession, df: DataFrame, order: list[Column], what: str, keep: list[str] | None = None) -> DataFrame:
     """``df`` (of it the columns ``keep``) dealt into sorted ranges and stored, with ``part`` (range, in order) and ``place`` (row within it, from 0).
 

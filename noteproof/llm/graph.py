@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, materialize_counted
 
 #: Places that the links of one vertex are spread over when they look up where it went.
 SALTS = 16
+#: So many links, whatever the input, are followed to their ends in one task.
+FEW = 10_000
 
 
 def _rank(column: str) -> F.Column:
@@ -26,38 +30,81 @@ def _moved(rows: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
     return salted.join(copies, [column, "salt"]).select(*[F.col("to").alias(c) if c == column else c for c in rows.columns])
 
 
+def _through(placed: DataFrame, hooks: DataFrame) -> DataFrame:
+    """``placed`` (id, at) with ``at`` replaced by its target in ``hooks`` (u, p), if it has one."""
+    later = hooks.select(F.col("u").alias("at"), "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(later, ["at", "salt"], "left").select("id", F.coalesce("p", "at").alias("at"))
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, p of links (a, b) that are all in one task: the least vertex of its component."""
+    parent: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (p := parent.setdefault(k, k)) != k:
+            parent[k] = k = parent[p]
+        return k
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    names = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([find(k) for k in names], pa.int64())], ["u", "p"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest id reachable over ``edges`` (a, b), for every id that has an edge.
 
     Each round every vertex hooks to its least neighbour, in a random order, and on to where that one
     hooks; links inside a tree vanish, the others run between trees and are kept once. Rounds are written to the
-    shared folder, so neither lineage nor driver memory grows, and shrink geometrically.
+    shared folder, so neither lineage nor driver memory grows, and shrink geometrically; the last ``FEW`` links
+    are followed in one task, which saves the rounds that would have next to no rows.
     Self-links, repeated and reversed links are allowed; rows with a null end are ignored; no
     edges give no rows.
     """
     spark = edges.sparkSession
-    links = materialize(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    least_first = [F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")]
+    links, n = materialize_counted(spark, edges.where("a <> b").select(*least_first).distinct(), "edges")
     rounds: list[DataFrame] = []
-    while not links.isEmpty():
+    while n > FEW:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min(_rank("v")).alias("m"))
-        hooks = least.select("u", F.least("m", _rank("u"))["v"].alias("p"))
+        hooks = materialize(spark, least.select("u", F.least("m", _rank("u"))["v"].alias("p")), "least")
         jumped = materialize(spark, _moved(hooks, "p", hooks), "hooks")
-        after = _moved(_moved(links, "a", jumped), "b", jumped).where("a <> b")
-        after = materialize(spark, after.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        drop_materialized(spark, links)
+        after, n = materialize_counted(spark, _moved(_moved(links, "a", jumped), "b", jumped).where("a <> b").select(*least_first).distinct(), "edges")
+        drop_materialized(spark, links, hooks)
         links = after
         rounds.append(jumped)
+    if n:
+        rounds.append(materialize(spark, links.coalesce(1).mapInArrow(_roots, "u long, p long"), "hooks"))
     drop_materialized(spark, links)
     if not rounds:
         return spark.createDataFrame([], "id long, component long")
-
-    def through(placed: DataFrame, hooks: DataFrame) -> DataFrame:
-        later = hooks.select(F.col("u").alias("at"), "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        return salted.join(later, ["at", "salt"], "left").select("id", F.coalesce("p", "at").alias("at"))
-
-    placed = materialize(spark, reduce(through, rounds[1:], rounds[0].select(F.col("u").alias("id"), F.col("p").alias("at"))), "placed")
+    placed = rounds[0].select(F.col("u").alias("id"), F.col("p").alias("at"))
+    if n and len(rounds) == 1:
+        return placed.withColumnRenamed("at", "component")
+    placed = materialize(spark, reduce(_through, rounds[1:], placed), "placed")
     drop_materialized(spark, *rounds)
     least = placed.groupBy("at").agg(F.min("id").alias("p")).select(F.col("at").alias("u"), "p")
-    return _moved(placed, "at", least).select("id", F.col("at").alias("component"))
+    # stored, as callers read it several times in one plan
+    component = materialize(spark, _moved(placed, "at", least).select("id", F.col("at").alias("component")), "components")
+    drop_materialized(spark, placed)
+    return component
+
+
+def joined_components(component: DataFrame, edges: DataFrame) -> DataFrame:
+    """``component`` (id, component: its smallest id) once ``edges`` (a, b) are there, too: only components that they join are moved."""
+    spark = component.sparkSession
+    ends = edges.where("a <> b").select("a", "b")
+    for end in ("a", "b"):
+        of = component.select(F.col("id").alias(end), "component")
+        ends = ends.join(of, end, "left").select(*[F.coalesce("component", c).alias(c) if c == end else c for c in ends.columns])
+    ends = materialize(spark, ends, "ends")
+    alone = edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(component, "id", "left_anti")
+    known = component.select("id", F.col("component").alias("at")).unionByName(alone.select("id", F.col("id").alias("at")))
+    over = connected_components(ends).select(F.col("id").alias("u"), F.col("component").alias("p"))
+    joined = materialize(spark, _through(known, over).select("id", F.col("at").alias("component")), "components")
+    drop_materialized(spark, ends)
+    return joined

@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, left_join_heavy, materialize, text_or_empty
-from .graph import connected_components
+from .common import drop_materialized, left_join_heavy, materialize, materialize_counted, text_or_empty
+from .graph import connected_components, joined_components
 from .shingles import WIDTH, mixed, shingle_sets
 
 THRESHOLD = 85
@@ -171,17 +171,17 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return joined.select("cls", "leader", "n_shingles1", "n_shingles2", "registers1", "registers2").mapInArrow(run, "cls long, leader long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b): the distinct pairs (cls, leader) whose full sets are similar enough, registers first."""
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """Links (a, b) and how many: the distinct pairs (cls, leader) whose full sets are similar enough, registers first."""
     spark = pairs.sparkSession
     met = materialize(spark, pairs.where("cls <> leader").distinct(), "pairs")
     left = materialize(spark, _plausible(met, classes, threshold), "plausible")
     both = F.size(F.array_intersect("shingles1", "shingles2"))
     sized = _beside_leaders(left, sets, ["shingles"]).select("cls", "leader", both.alias("both"), (F.size("shingles1") + F.size("shingles2")).alias("all"))
     similar = sized.where(100 * F.col("both") >= threshold * (F.col("all") - F.col("both")))
-    links = materialize(spark, similar.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "links")
+    links, n = materialize_counted(spark, similar.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct(), "links")
     drop_materialized(spark, met, left)
-    return links
+    return links, n
 
 
 def _with_group(rows: DataFrame, by: list[str], per_group: DataFrame) -> DataFrame:
@@ -314,32 +314,32 @@ def _grouped(docs: DataFrame, threshold: int, width: int) -> DataFrame:
         shared.where("cls <> own").select("cls", F.col("own").alias("leader"))
         .unionByName(leads.select("cls", F.col("x").alias("leader"))).unionByName(leads.select("cls", F.col("y").alias("leader")))
     )
-    links = _verified(pairs, classes, sets, threshold)
+    links, _ = _verified(pairs, classes, sets, threshold)
     # settled: up to three classes, each its part's leader
     large = shared.where("n > 3 or n > parts").select("key", "salt", "cls")
     component = connected_components(links)
     for last in (False, True):
-        placed = large.join(component.withColumnRenamed("id", "cls"), "cls", "left").select("key", "salt", "cls", F.coalesce("component", "cls").alias("component"))
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_rows = materialize(spark, _with_group(placed, ["key"], mixed_keys), "open")
-        if open_rows.isEmpty():
+        # components are read by a plan of their own; only rows of buckets that hang in several meet them again
+        placed = large.join(component.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        bounds = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed_keys, n = materialize_counted(spark, bounds.where("lo <> hi").select("key"), "mixed")
+        if not n:
             break
+        held = _with_group(large, ["key"], mixed_keys).join(component.withColumnRenamed("id", "cls"), "cls", "left")
+        open_rows = materialize(spark, held.select("key", "salt", "cls", F.coalesce("component", "cls").alias("component")), "open")
         if last:
-            found = materialize(spark, _across_blocks(open_rows, classes, sets, threshold), "links")
+            found, n = materialize_counted(spark, _across_blocks(open_rows, classes, sets, threshold), "links")
         else:
             degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("d"))
             ranked = open_rows.join(degree, "cls", "left").na.fill(0, ["d"])
             best = ranked.groupBy("key").agg(F.max(F.struct("d", "cls", "component")).alias("m")).select("key", F.col("m.cls").alias("leader"), F.col("m.component").alias("of"))
-            found = _verified(_with_group(open_rows, ["key"], best).where("component <> of").select("cls", "leader"), classes, sets, threshold)
-        if found.isEmpty():
-            continue
-        merged = materialize(spark, links.unionByName(found).distinct(), "links")
-        drop_materialized(spark, links, found, open_rows)
-        links = merged
-        component = connected_components(links)
+            found, n = _verified(_with_group(open_rows, ["key"], best).where("component <> of").select("cls", "leader"), classes, sets, threshold)
+        if n:
+            component = joined_components(component, found)
+        drop_materialized(spark, mixed_keys, found, open_rows)
     # through the smallest doc_id of all classes of a component
     placed = classes.select("h1", "h2", "n_shingles", "copies", "least", "cls").join(component.withColumnRenamed("id", "cls"), "cls", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "cls"))
+    placed = materialize(spark, placed.withColumn("component", F.coalesce("component", "cls")), "placed")
     named = materialize(spark, placed.groupBy("component").agg(F.min("least").alias("root")), "roots")
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("h1"), F.lit(SALTS)).cast("int"))
     roots = materialize(spark, _with_group(salted, ["component"], named).select("h1", "h2", "n_shingles", "copies", "root"), "roots")
@@ -350,7 +350,7 @@ def _grouped(docs: DataFrame, threshold: int, width: int) -> DataFrame:
         "n_shingles",
         F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    drop_materialized(spark, shared, sets, links, named)
+    drop_materialized(spark, shared, sets, links, placed, named)
     return out
 
 

@@ -145,10 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, grade: str = "toxic", max_rows: i
             found = [sorted(index[f] for f in features_of(t) & index.keys()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "grade"])
 
-    coded = known.mapInArrow(code, "x array<int>, grade int").collect()  # at most max_rows
-    coded.sort(key=lambda r: (r.grade, r.x))
+    coded = known.mapInArrow(code, "x array<int>, grade int").toArrow()  # at most max_rows, as arrays, which are smaller than rows of Python lists
+    found, given = coded["x"].combine_chunks(), coded["grade"].to_numpy()
+    ends = np.append(0, np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False)))
+    flat = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows_of = [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]  # noqa: B905
+    # big-endian bytes sort as the lists of numbers do
+    order = sorted(range(len(given)), key=lambda k: (given[k], rows_of[k].astype(">i4").tobytes()))
     level = {g: k for k, g in enumerate(grades)}
-    w, theta = fit_ordinal([np.array(r.x, np.int64) for r in coded], np.array([level[r.grade] for r in coded]), len(names))
+    w, theta = fit_ordinal([rows_of[k] for k in order], np.array([level[given[k]] for k in order]), len(names))
     return Model({f: float(v) for f, v in zip(names, w, strict=True) if v}, [float(t) for t in theta], float(grades[0]))
 
 
