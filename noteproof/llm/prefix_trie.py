@@ -1,11 +1,15 @@
-"""Trie of conversations that start with the same turns, built level by level.
+"""Trie of conversations that start with the same turns, built a block of levels at a time.
 
-All conversations start in the root. At each depth the live ones - those that share their node with others - are grouped by
-(node, next turn); the smallest conv_id of a group names its node, and groups of one leave the loop with the chain of
-nodes that follows, which nothing else can join. Then levels are joined from the deepest to the root, each node adding up its children's
-leaves and saved tokens. A turn is known by the SHA-256 of its role and text; texts are not moved after the first sort.
+All conversations start in the root. A round takes the next ``BLOCK`` turns of the live ones - those that share their node with
+others: each turn becomes a row with a hash of the node before the block and all turns from there, and rows are grouped by depth and hash. The
+smallest conv_id of a group names its node. Groups of one are a chain of nodes that nothing else can join; they are unfolded in one step.
+A turn is known by the SHA-256 of its role and text; texts are not moved after the first sort.
 
-A level groups with partial sums, and its rows meet their group by broadcast where the group holds a thousandth of them, so no
+Nothing is summed from level to level. A conversation that names a node names all its nodes after that, so each node is counted once, at the
+conversation that names it: a node's leaves and children are those of its members that name a leaf or a child of it, its saved tokens are its members' turns from it on
+before they name their own.
+
+Groups are made with partial sums, and rows meet their group by broadcast where the group holds a thousandth of them, so no
 group has to fit in a task. Turns are numbered by a sort into ranges, so a conversation may span ranges; the conversations that end in a node are
 joined to one string in pieces, one per range, and hashed piece after piece.
 
@@ -21,12 +25,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, materialize, range_numbered
+from .common import HEAVY, materialize, materialize_counted, range_numbered
 
-#: Turns that one row carries into the level loop.
+#: Turns that one row carries into a round, and levels of a round.
 BLOCK = 8
 #: Nodes of a chain that one row is first unfolded to.
 CHAIN = 4096
@@ -131,61 +135,39 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{c} {'string' if c == 'ends_sha256' else 'long'}" for c in OUT))
 
 
-def build_levels(blocks: DataFrame, root: int, total: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The levels of nodes from depth 1 (parent, conv_id, n_convs, bytes, n: turns of the longest member) and, by level from 0, the live conversations (conv_id, node, n, turns)."""
+def _prefixes(live: DataFrame) -> DataFrame:
+    """conv_id, n, depth, prefix, saved: of each conversation one row for each turn of its block; ``prefix`` is a hash of
+    the node before the block and of the turns up to there, ``saved`` the bytes of all turns up to there."""
+    one = F.array(F.struct(F.encode(F.col("node").cast("string"), "UTF-8").alias("h"), F.col("saved").alias("s")))
+
+    def on(held: Column, turn: Column) -> Column:
+        last = F.element_at(held, -1)
+        return F.array_append(held, F.struct(F.unhex(F.sha2(F.concat(last["h"], turn["key"]), 256)).alias("h"), (last["s"] + turn["bytes"]).alias("s")))
+
+    chained = live.select("conv_id", "n", "depth", F.posexplode(F.slice(F.aggregate("turns", one, on), 2, BLOCK)).alias("k", "at"))
+    return chained.select("conv_id", "n", (F.col("depth") + 1 + F.col("k")).alias("depth"), F.col("at.h").alias("prefix"), F.col("at.s").alias("saved"))
+
+
+def shared_rows(blocks: DataFrame, root: int, longest: int, total: int) -> DataFrame:
+    """conv_id, n, depth, node, longest, saved: the nodes that a conversation shares with others, from the root; ``longest`` has the turns of the longest
+    member, ``saved`` the bytes of all turns down to the node. A round takes ``BLOCK`` levels at once."""
     spark = blocks.sparkSession
-    live = blocks.where("block = 0").select("conv_id", F.lit(root).cast("long").alias("node"), "n", "turns")
-    levels, lives, depth = [], [live], 0
+    zero = F.lit(0).cast("long")
+    top = blocks.where("block = 0").select("conv_id", "n", zero.alias("depth"), F.lit(root).cast("long").alias("node"), F.lit(longest).cast("long").alias("longest"), zero.alias("saved"))
+    found, here, block = top, top, 0
     while True:
-        place = depth % BLOCK
-        if depth and not place:
-            following = blocks.where(F.col("block") == depth // BLOCK).select("conv_id", "turns")
-            live = live.drop("turns").join(following, "conv_id")
-        moving = live.where(F.col("n") > depth).select("conv_id", "node", "n", "turns", F.get("turns", F.lit(place)).alias("t"))
-        moving = moving.select("conv_id", "node", "n", "turns", F.col("t.key").alias("key"), F.col("t.bytes").alias("bytes"))
-        groups = moving.groupBy("node", "key").agg(F.min("conv_id").alias("child"), F.count(F.lit(1)).alias("n_convs"), F.min("bytes").alias("bytes"), F.max("n").alias("n"))
-        seen = Observation()
-        counted = groups.observe(seen, F.count(F.lit(1)).alias("nodes"), F.sum((F.col("n_convs") > 1).cast("long")).alias("shared"))
-        level = materialize(spark, counted, f"level-{depth + 1}")
-        if not seen.get["nodes"]:
-            return levels, lives
-        levels.append(level.select(F.col("node").alias("parent"), F.col("child").alias("conv_id"), "n_convs", "bytes", "n"))
-        if not seen.get["shared"]:
-            return levels, lives
-        shared = level.where("n_convs > 1").select("node", "key", "child", "n_convs")
-        # the live rows are stored too, so that no level depends on the plans of all before it
-        met = _meet(moving.select("conv_id", "node", "n", "turns", "key"), shared, ["node", "key"], total)
-        live = materialize(spark, met.select("conv_id", F.col("child").alias("node"), "n", "turns"), f"live-{depth + 1}")
-        lives.append(live)
-        depth += 1
-
-
-def _rolled(levels: list[DataFrame]) -> list[DataFrame]:
-    """From the deepest level to the first: each node with its children's sums."""
-    spark, out = levels[0].sparkSession if levels else None, []
-    below = None
-    for depth in range(len(levels), 0, -1):
-        own, alone = levels[depth - 1], F.col("n_convs") == 1
-        if below is None:
-            rows = own.withColumns({"n_children": F.lit(0).cast("long"), "leaves": F.lit(0).cast("long"), "saved": F.lit(0).cast("long")})
-        else:
-            sums = below.groupBy(F.col("parent").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-            rows = own.join(sums, "conv_id", "left").na.fill(0, ["n_children", "leaves", "saved"])
-        # a node of one conversation has that conversation's next turn as its only child, or none
-        children = F.when(alone, (F.col("n") > depth).cast("long")).otherwise(F.col("n_children"))
-        rows = rows.select(
-            "conv_id",
-            F.lit(depth).cast("long").alias("depth"),
-            "parent",
-            "n_convs",
-            "n",
-            children.alias("n_children"),
-            F.greatest(F.lit(1).cast("long"), "leaves").alias("n_leaves"),
-            ((F.col("n_convs") - 1) * F.col("bytes") + F.col("saved")).alias("saved_tokens"),
-        )
-        below = materialize(spark, rows, f"rolled-{depth}")
-        out.append(below)
-    return out[::-1]
+        going = here.where(F.col("n") > block * BLOCK).join(blocks.where(F.col("block") == block).select("conv_id", "turns"), "conv_id")
+        steps = _prefixes(going)
+        # a hash alone tells nodes of one depth apart, as it holds the node before the block
+        groups = steps.groupBy("depth", "prefix").agg(F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n_convs"), F.max("n").alias("longest"))
+        shared, n = materialize_counted(spark, groups.where("n_convs > 1"), f"shared-{block}")
+        if not n:
+            return found
+        # the rows are stored too, so that no round depends on the plans of all before it
+        met = materialize(spark, _meet(steps, shared, ["depth", "prefix"], total).select(*top.columns), f"rows-{block}")
+        found = found.unionByName(met)
+        block += 1
+        here = met.where(F.col("depth") == block * BLOCK)
 
 
 def trie_nodes(conversations: DataFrame, head: Column | None = None, base: Column | None = None) -> DataFrame:
@@ -196,30 +178,54 @@ def trie_nodes(conversations: DataFrame, head: Column | None = None, base: Colum
     head = F.lit(0) if head is None else head
     base = F.col("conv_id") if base is None else base
     blocks = _blocks(rebuilt(turns, head, base))
-    start = blocks.where("block = 0").agg(F.min("conv_id").alias("root"), F.count(F.lit(1)).alias("total")).first()
+    start = blocks.where("block = 0").agg(F.min("conv_id").alias("root"), F.count(F.lit(1)).alias("total"), F.max("n").alias("longest")).first()
     if not start.total:
         return _empty(spark)
-    levels, lives = build_levels(blocks, start.root, start.total)
-    rolled = _rolled(levels)
-    if rolled:
-        sums = rolled[0].agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens")).first()
-    else:
-        sums = (0, 1, 0)
-    nodes = spark.createDataFrame([(start.root, 0, None, start.total, None, *sums)], "conv_id long, depth long, parent long, n_convs long, n long, n_children long, n_leaves long, saved_tokens long")
-    for level in rolled:
-        nodes = nodes.unionByName(level)
-    ended = None
-    for depth, live in enumerate(lives):
-        here = live.where(F.col("n") == depth).select(F.lit(depth).cast("long").alias("depth"), "node", F.col("conv_id").alias("member"))
-        ended = here if ended is None else ended.unionByName(here)
-    hashed = _joined_ends(ended)
-    shared = nodes.where("n_convs > 1 or depth = 0").join(hashed, ["depth", "conv_id"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_EMPTY)))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    each, down = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("depth")
+    rows = shared_rows(blocks, start.root, start.longest, start.total)
+    rows = rows.withColumns({"last": F.max("depth").over(each), "parent": F.lag("node").over(down)})
+    # a conversation that is the smallest of a node is the smallest of all nodes after it, so it names them
+    names = F.col("node") == F.col("conv_id")
+    rows = rows.withColumns(
+        {
+            "named": F.coalesce(F.min(F.when(names, F.col("depth"))).over(each), F.col("last") + 1),
+            "before": F.max(F.when(~names, F.col("saved"))).over(each),
+            "above": F.coalesce(F.lag("saved").over(down), zero),
+            "ends": F.max(F.when((F.col("depth") == F.col("last")) & (F.col("longest") == F.col("n")), one)).over(each).isNotNull(),
+        }
+    )
+    rows = materialize(spark, rows, "placed")
+    # every node is counted at the conversation that names it: as a child, as a leaf, and by the turns that the others save
+    child = (F.col("n") > F.col("depth")) & (F.col("named") <= F.col("depth") + 1)
+    leaf = (F.col("n") > F.col("last")) | ((F.col("named") <= F.col("last")) & F.col("ends"))
+    saved = F.when(F.col("depth") < F.col("named"), F.col("before") - F.col("above")).otherwise(zero)
+    shared = rows.groupBy("depth", F.col("node").alias("conv_id")).agg(
+        F.min("parent").alias("parent"),
+        F.count(one).alias("n_convs"),
+        F.max("longest").alias("n"),
+        F.sum(child.cast("long")).alias("n_children"),
+        F.sum(leaf.cast("long")).alias("n_leaves"),
+        F.sum(saved).alias("saved_tokens"),
+    )
+    hashed = _joined_ends(rows.where("n = depth").select("depth", "node", F.col("conv_id").alias("member")))
+    shared = shared.join(hashed, ["depth", "conv_id"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(_EMPTY)))
     own = F.sha2(F.col("conv_id").cast("string").cast("binary"), 256)
-    single = nodes.where("n_convs = 1 and depth > 0").withColumn("ends_sha256", F.when(F.col("n") == F.col("depth"), own).otherwise(F.lit(_EMPTY)))
+    # the node after the last shared one
+    single = rows.where("depth = last and n > last").select(
+        "conv_id",
+        (F.col("depth") + 1).alias("depth"),
+        F.col("node").alias("parent"),
+        one.alias("n_convs"),
+        "n",
+        (F.col("n") > F.col("depth") + 1).cast("long").alias("n_children"),
+        one.alias("n_leaves"),
+        zero.alias("saved_tokens"),
+        F.when(F.col("n") == F.col("depth") + 1, own).otherwise(F.lit(_EMPTY)).alias("ends_sha256"),
+    )
     steps = single.where("n > depth").select("conv_id", "n", "depth", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - depth - 1) div {CHAIN}"))).alias("k"))
     low, high = F.expr(f"depth + 1 + k * {CHAIN}"), F.expr(f"least(n, depth + (k + 1) * {CHAIN})")
     chain = steps.select("conv_id", "n", F.explode(F.sequence(low, high)).alias("depth"))
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     chain = chain.select(
         "conv_id",
         "depth",

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from noteproof.llm import graph, near_dedup  # noqa: E402
+from noteproof.llm import graph, near_dedup, prefix_trie  # noqa: E402
 
 
 def jobs(spark, group, run):
@@ -51,3 +51,18 @@ def test_near_dedup_takes_few_jobs(spark):
 
 #: 54 at writing; 76 when components were built from all links again after each step and every table was counted by a job of its own.
 MOST_JOBS = 65
+
+
+def test_trie_rounds_take_several_levels(spark):
+    rows = [(c, t, "user", f"t{t}" if t < 20 else f"{c}-{t}") for c in range(6) for t in range(22)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = []
+    assert jobs(spark, "trie", lambda: got.extend(prefix_trie.trie_nodes(table).collect())) <= MOST_TRIE_JOBS
+    shared = {r.depth: r for r in got if r.n_convs > 1}
+    assert sorted(shared) == list(range(21))
+    assert [(r.n_convs, r.n_children, r.n_leaves, r.saved_tokens) for d, r in sorted(shared.items()) if d >= 19] == [(6, 1, 6, 30), (6, 6, 6, 15)]
+    assert len(got) == 21 + 6 * 2
+
+
+#: 46 at writing; 189 when each level had its own jobs, down and up again.
+MOST_TRIE_JOBS = 70
