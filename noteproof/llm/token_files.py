@@ -35,6 +35,8 @@ from .common import drop_materialized, materialize, shuffle_partitions, text_or_
 MAX_BITS = 16
 LANE = 256
 BLOCK_IDS = 1 << 16
+#: Blocks that are decoded side by side.
+AT_ONCE = 8
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -102,7 +104,7 @@ class Decoder:
 
     def __init__(self, lengths: np.ndarray):
         codes = canonical_codes(lengths)
-        self.id, self.step = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.int64)
+        self.id, self.step = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
         used = np.flatnonzero(lengths)
         for k in used[np.lexsort((used, lengths[used]))].tolist():
             free = MAX_BITS - int(lengths[k])
@@ -111,18 +113,25 @@ class Decoder:
             self.step[low : low + (1 << free)] = lengths[k]
 
     def __call__(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((len(checkpoints), LANE), np.uint32)
-        if not n:
-            return out.reshape(-1)[:0]
-        data = np.frombuffer(payload + b"\0" * 4, np.uint8).astype(np.uint32)
-        at, data_end = checkpoints.astype(np.int64), len(data) - 3
-        for k in range(min(LANE, n)):
-            byte = np.minimum(at >> 3, data_end)  # the last lane may run out before the others
-            window = data[byte] << 16 | data[byte + 1] << 8 | data[byte + 2]
-            bits = window >> (8 - (at & 7)).astype(np.uint32) & 0xFFFF
-            out[:, k] = self.id[bits]
+        return self.blocks([payload], [checkpoints], [n])[0]
+
+    def blocks(self, payloads: list[bytes], checkpoints: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
+        """Ids of each block; the lanes of all of them go on side by side."""
+        # a last lane may run out before the others: it then reads on for less than the zeros here
+        pad = b"\0" * (LANE * MAX_BITS // 8 + 4)
+        sizes = np.array([len(p) + len(pad) for p in payloads], np.int64)
+        data = np.frombuffer(pad.join([*payloads, b""]), np.uint8).astype(np.uint32)
+        window = np.zeros(len(data), np.uint32)
+        window[:-2] = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        lanes = np.array([len(c) for c in checkpoints], np.int64)
+        at = np.concatenate([c.astype(np.int64) for c in checkpoints]) + np.repeat(8 * (np.cumsum(sizes) - sizes), lanes)
+        out = np.zeros((LANE, len(at)), np.uint32)
+        for k in range(min(LANE, max(counts, default=0))):
+            bits = window[at >> 3] >> (8 - (at & 7)).astype(np.uint32) & 0xFFFF
+            out[k] = self.id[bits]
             at += self.step[bits]
-        return out.reshape(-1)[:n]
+        found, ends = out.T.reshape(-1), np.cumsum(lanes)
+        return [found[LANE * (e - m) : LANE * (e - m) + n] for e, m, n in zip(ends.tolist(), lanes.tolist(), counts, strict=True)]
 
 
 def id_type(path: str, end_id: int) -> str:
@@ -138,7 +147,7 @@ def encoded_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, kind = tokens.library(path), id_type(path, end_id)
-        for batch in batches:
+        for batch in tokens.gathered(batches):
             ids, ends = tokens.with_end(*enc.encode_column(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens.as_binary(ids.astype(kind), ends)], ["doc_id", "ids"])
 
@@ -236,16 +245,17 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(lengths)
         for batch in batches:
-            for k in range(batch.num_rows):
-                file, _, docs, sizes, starts, payload, lanes = (c.slice(k, 1).flatten() if pa.types.is_list(c.type) else c[k].as_py() for c in batch.columns)
-                sizes = sizes.to_numpy()
-                ids = decode(payload, lanes.to_numpy(), int(sizes.sum())).astype("<u4").tobytes()
-                ends = np.cumsum(4 * sizes).tolist()
-                parts = [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-                yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(starts.to_numpy() + first[file]), pa.array(sizes), pa.array(parts, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+            for low in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(low, AT_ONCE)
+                lanes = [some.column(6).slice(k, 1).flatten().to_numpy() for k in range(some.num_rows)]
+                all_sizes = [some.column(3).slice(k, 1).flatten().to_numpy() for k in range(some.num_rows)]
+                decoded = decode.blocks(some.column(5).to_pylist(), lanes, [int(x.sum()) for x in all_sizes])
+                for k, (file, sizes) in enumerate(zip(some.column(0).to_pylist(), all_sizes, strict=True)):
+                    docs, starts = (some.column(c).slice(k, 1).flatten() for c in (2, 4))
+                    yield pa.RecordBatch.from_arrays(
+                        [docs, pa.array(starts.to_numpy() + first[file]), pa.array(sizes), tokens.as_binary(decoded[k].astype("<u4", copy=False), np.cumsum(sizes))],
+                        ["doc_id", "start", "n_tokens", "ids"],
+                    )
 
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks").select(*[c.split()[0] for c in _BLOCKS.split(", ")])
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

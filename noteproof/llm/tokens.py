@@ -53,6 +53,8 @@ def byte_symbols() -> list[str]:
 
 #: Bytes of text whose runs are told apart together.
 CHUNK_BYTES = 2_000_000
+#: The same where one Python worker serves a core: more text repeats more of its runs.
+WIDE_CHUNK_BYTES = 8_000_000
 
 
 def by_length(sizes: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -87,6 +89,7 @@ class RunTable:
     """Ids of runs, as little-endian unsigned 32-bit integers; subclasses encode single words."""
 
     most = RUN_TABLE
+    chunk = CHUNK_BYTES
 
     def __init__(self, spec: dict) -> None:
         self.table: dict[str, bytes] = {"": b""}
@@ -142,10 +145,13 @@ class RunTable:
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, as unsigned 32-bit integers, and where each text's end."""
         found, ends, base = [], [], 0
-        for low, high in by_length(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+        for low, high in by_length(pc.binary_length(texts).to_numpy(zero_copy_only=False), self.chunk):
             flat, counts = _run_lists(texts.slice(low, high - low))
-            if len(self.table) > self.most or len(self.words) > self.most:
-                self.table, self.words = {"": b""}, {" ": b""}
+            # each by itself: runs outnumber words, and a word is dearer to encode
+            if len(self.table) > self.most:
+                self.table = {"": b""}
+            if len(self.words) > self.most:
+                self.words = {" ": b""}
             coded = flat.dictionary_encode()
             runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             parts = list(map(self.table.get, runs))
@@ -173,6 +179,19 @@ class RunTable:
         return [joined[a:b] for a, b in zip([0, *to], to)]  # noqa: B905
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = WIDE_CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``most`` bytes or of one batch that is larger."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end_id`` after each text, and the new ends."""
     return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
@@ -188,6 +207,7 @@ class LibraryIds(RunTable):
     """Words encoded by the tokenizers library's own model."""
 
     most = WIDE_RUN_TABLE
+    chunk = WIDE_CHUNK_BYTES
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

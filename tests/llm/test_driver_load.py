@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from noteproof.llm import graph, near_dedup, prefix_trie  # noqa: E402
+from noteproof.llm import graph, near_dedup, prefix_trie, token_files, tokens  # noqa: E402
 
 
 def jobs(spark, group, run):
@@ -66,3 +68,28 @@ def test_trie_rounds_take_several_levels(spark):
 
 #: 46 at writing; 189 when each level had its own jobs, down and up again.
 MOST_TRIE_JOBS = 70
+
+
+def test_blocks_decode_side_by_side():
+    rng = np.random.default_rng(2)
+    blocks = [rng.geometric(0.02, n).clip(max=500) for n in (1, 700, 256, 0, 65_536)]
+    lengths = token_files.code_lengths(np.bincount(np.concatenate(blocks)))
+    packed = [token_files.pack_bits(b, token_files.canonical_codes(lengths), lengths) for b in blocks]
+    got = token_files.Decoder(lengths).blocks([p for p, _ in packed], [at[:: token_files.LANE] for _, at in packed], [len(b) for b in blocks])
+    assert [g.tolist() for g in got] == [b.tolist() for b in blocks]
+
+
+def test_words_outlive_the_table_of_runs():
+    enc = tokens.LibraryIds(public_tokenizers.path("word_bpe_49k.json"))
+    enc.most = 40
+    once = enc.encode_batch([f"a,b{k} a.b{k} a-b{k}" for k in range(12)])
+    known = dict(enc.words)
+    assert enc.encode_batch([f"b{k}" for k in range(12)]) and len(known) <= 40 and known.items() <= enc.words.items()
+    assert once == tokens.LibraryIds(public_tokenizers.path("word_bpe_49k.json")).encode_batch([f"a,b{k} a.b{k} a-b{k}" for k in range(12)])
+
+
+def test_gathered_batches_hold_the_same_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": [str(k)] * 5}) for k in range(9)]
+    got = list(tokens.gathered(iter(batches), 3 * batches[0].nbytes))
+    assert len(got) == 3 and pa.Table.from_batches(got) == pa.Table.from_batches(batches)
+    assert list(tokens.gathered(iter([]))) == []
