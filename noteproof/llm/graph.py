@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,19 +21,27 @@ def _rank(column: str) -> F.Column:
     return F.struct(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
 
 
-def _moved(rows: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
-    """``rows`` with ``column`` replaced by its target in ``hooks`` (u, p); a frequent value is split by salt."""
-    others = [c for c in rows.columns if c != column]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
-    copies = hooks.select(F.col("u").alias(column), F.col("p").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(copies, [column, "salt"]).select(*[F.col("to").alias(c) if c == column else c for c in rows.columns])
+def _targets(rows: DataFrame, column: str, salt: str, hooks: DataFrame) -> DataFrame:
+    """``column``, ``salt``, ``to``: the target in ``hooks`` (u, p) of each value, once per salt that ``rows`` have of it.
+
+    So a frequent value is looked up in at most ``SALTS`` places, and no more copies are made than there are rows."""
+    return rows.select(column, salt).distinct().join(hooks.select(F.col("u").alias(column), F.col("p").alias("to")), column)
+
+
+def _moved(rows: DataFrame, hooks: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``columns`` replaced by their targets in ``hooks`` (u, p); a frequent value is split by salt."""
+    salts = {c: F.pmod(F.xxhash64(*[o for o in rows.columns if o != c]), F.lit(SALTS)).cast("int").alias(f"{c}_salt") for c in columns}
+    salted = rows.select("*", *salts.values())
+    out = salted
+    for c in columns:
+        out = out.join(_targets(salted, c, f"{c}_salt", hooks).withColumnRenamed("to", f"{c}_to"), [c, f"{c}_salt"])
+    return out.select(*[F.col(f"{c}_to").alias(c) if c in columns else c for c in rows.columns])
 
 
 def _through(placed: DataFrame, hooks: DataFrame) -> DataFrame:
     """``placed`` (id, at) with ``at`` replaced by its target in ``hooks`` (u, p), if it has one."""
-    later = hooks.select(F.col("u").alias("at"), "p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return salted.join(later, ["at", "salt"], "left").select("id", F.coalesce("p", "at").alias("at"))
+    return salted.join(_targets(salted, "at", "salt", hooks), ["at", "salt"], "left").select("id", F.coalesce("to", "at").alias("at"))
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +79,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min(_rank("v")).alias("m"))
         hooks = materialize(spark, least.select("u", F.least("m", _rank("u"))["v"].alias("p")), "least")
-        jumped = materialize(spark, _moved(hooks, "p", hooks), "hooks")
-        after, n = materialize_counted(spark, _moved(_moved(links, "a", jumped), "b", jumped).where("a <> b").select(*least_first).distinct(), "edges")
+        jumped = materialize(spark, _moved(hooks, hooks, "p"), "hooks")
+        after, n = materialize_counted(spark, _moved(links, jumped, "a", "b").where("a <> b").select(*least_first).distinct(), "edges")
         drop_materialized(spark, links, hooks)
         links = after
         rounds.append(jumped)
@@ -82,14 +89,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     drop_materialized(spark, links)
     if not rounds:
         return spark.createDataFrame([], "id long, component long")
-    placed = rounds[0].select(F.col("u").alias("id"), F.col("p").alias("at"))
     if n and len(rounds) == 1:
-        return placed.withColumnRenamed("at", "component")
-    placed = materialize(spark, reduce(_through, rounds[1:], placed), "placed")
-    drop_materialized(spark, *rounds)
+        return rounds[0].select(F.col("u").alias("id"), F.col("p").alias("component"))
+    # later rounds first: each has fewer rows than the one before, and the first one's are read once
+    while len(rounds) > 1:
+        last = rounds.pop()
+        earlier = rounds.pop()
+        ends = _through(earlier.select(F.col("u").alias("id"), F.col("p").alias("at")), last)
+        rounds.append(materialize(spark, ends.select(F.col("id").alias("u"), F.col("at").alias("p")), "hooks"))
+        drop_materialized(spark, last, earlier)
+    placed = rounds[0].select(F.col("u").alias("id"), F.col("p").alias("at"))
     least = placed.groupBy("at").agg(F.min("id").alias("p")).select(F.col("at").alias("u"), "p")
     # stored, as callers read it several times in one plan
-    component = materialize(spark, _moved(placed, "at", least).select("id", F.col("at").alias("component")), "components")
+    component = materialize(spark, _moved(placed, least, "at").select("id", F.col("at").alias("component")), "components")
     drop_materialized(spark, placed)
     return component
 
@@ -102,9 +114,10 @@ def joined_components(component: DataFrame, edges: DataFrame) -> DataFrame:
         of = component.select(F.col("id").alias(end), "component")
         ends = ends.join(of, end, "left").select(*[F.coalesce("component", c).alias(c) if c == end else c for c in ends.columns])
     ends = materialize(spark, ends, "ends")
-    alone = edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(component, "id", "left_anti")
-    known = component.select("id", F.col("component").alias("at")).unionByName(alone.select("id", F.col("id").alias("at")))
-    over = connected_components(ends).select(F.col("id").alias("u"), F.col("component").alias("p"))
-    joined = materialize(spark, _through(known, over).select("id", F.col("at").alias("component")), "components")
+    over = connected_components(ends)
+    # an end that had no edge before has one in ``ends``, so its component is there
+    alone = over.join(component.select("id"), "id", "left_anti")
+    moved = _through(component.select("id", F.col("component").alias("at")), over.select(F.col("id").alias("u"), F.col("component").alias("p")))
+    joined = materialize(spark, moved.select("id", F.col("at").alias("component")).unionByName(alone), "components")
     drop_materialized(spark, ends)
     return joined

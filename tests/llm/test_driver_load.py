@@ -43,6 +43,37 @@ def test_components_with_rounds_and_without(spark, monkeypatch, few):
     assert {r.id: r.component for r in graph.joined_components(none, spark.createDataFrame(more, "a long, b long")).collect()} == brute(e for e in more if e[0] != e[1])
 
 
+def rows_made(spark, run):
+    """Rows out of joins and explodes of all queries that ``run`` makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = store.executionsCount()
+    run()
+    total = 0
+    for at in range(since, store.executionsCount()):
+        execution = store.executionsList().apply(at).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size())):
+                if metric.name() == "number of output rows" and ("Join" in node.name() or "Generate" in node.name()) and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_components_copy_no_vertex_for_every_salt(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    edges = [(2 * k, 2 * k + 1) for k in range(500)] + [(5_000, k) for k in range(5_001, 5_500)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = []
+    made = rows_made(spark, lambda: got.extend(graph.connected_components(frame).collect()))
+    assert {r.id: r.component for r in got} == brute(edges)
+    assert 0 < made <= MOST_MADE * len(edges)
+
+
+#: Rows out of joins and explodes for each edge: 12 at writing; 117 when every vertex was copied once per salt.
+MOST_MADE = 20
+
+
 def test_near_dedup_takes_few_jobs(spark):
     rnd = random.Random(3)
     base = [[f"w{rnd.randrange(500)}" for _ in range(60)] for _ in range(12)]
