@@ -38,6 +38,8 @@ def settled_bumps(claims: DataFrame, anchors: DataFrame, commit_files: DataFrame
     own = commit_files.join(anchors.join(said.select("release", "claim"), ["release", "claim"], "left_semi").select("release", "sha").distinct(), ["release", "sha"])
     columns = [F.col("path"), F.col("patch")]
     diffs = release_files.select(F.struct("release", F.lit("").alias("sha")).alias("release"), *columns).unionByName(own.select(F.struct("release", "sha").alias("release"), *columns))
+    # only releases with such claims and files that can name pins; stored, as each kind of file is read by itself
+    diffs = stored(diffs.where(pin_moves.may_pin(F.col("path"))).join(said.select(F.col("release").alias("_r")).distinct(), F.col("release.release") == F.col("_r"), "left_semi"), "pin-files")
     moves = stored(pin_moves.pin_moves(diffs).select("release.release", "release.sha", "name", "from", "to"), "pins")
     moved = moves.where("sha = ''").drop("sha")
     cited = anchors.join(moves, ["release", "sha"]).select("release", "claim", "name", "from", "to").distinct()
@@ -50,7 +52,7 @@ def verify_release(notes: DataFrame, commits: DataFrame, commit_files: DataFrame
 
     notes and base_notes: release, notes; commits: release, sha, subject, pr_numbers; commit_files: release, sha, path, status,
     patch; release_files: release, path, status, patch; merges: release, number, merged."""
-    return verify_claims(stored(parsed_claims(notes, base_notes), "claims"), commits, commit_files, release_files, merges)
+    return verify_claims(stored(parsed_claims(notes, base_notes).drop("promise"), "claims"), commits, commit_files, release_files, merges)
 
 
 def verify_claims(parsed: DataFrame, commits: DataFrame, commit_files: DataFrame, release_files: DataFrame, merges: DataFrame | None = None) -> DataFrame:
